@@ -1 +1,52 @@
 """Queries p3, p5, p6 and p7."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetweave.operators import history, instants, nested
+from fleetweave.plans.registry import query
+from fleetweave.sources.tables import table
+
+
+def unique_id():
+    return F.concat_ws("::", "source", "source_id")
+
+
+def _nodes(spark: SparkSession, d: str, payload: bool) -> DataFrame:
+    raw = nested.flatten(table(spark, d, "raw_store"), "raw_id", "raw_json", payload=payload)
+    records = table(spark, d, "source_records").where("extra_attributes <> ''").select(unique_id().alias("unique_id"), "extra_attributes")
+    extra = nested.flatten(records, "unique_id", "extra_attributes", open_texts=True, payload=payload)
+    tag = lambda df, f: df.select(F.lit(f).alias("field"), "*")
+    return tag(raw, "raw_store.raw_json").unionByName(tag(extra, "source_records.extra_attributes"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d, payload=False).where("is_element").select("field", "rec_key", "node_path")
+
+
+@query("p5_tables")
+def p5_tables(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of all tables, with links to the rows above them."""
+    return _nodes(spark, d, payload=True)
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    systems, events = table(spark, d, "source_systems"), table(spark, d, "mesh_events")
+    zones = instants.estimate_zones(events, systems, "source", "recorded_at", "ingested_at", "tz", "date_order")
+    jobs = [
+        ("source_records.mdm_located_time", table(spark, d, "source_records").where("mdm_located_time <> ''"), unique_id(), "mdm_located_time"),
+        ("raw_store.remote_updated_at", table(spark, d, "raw_store"), F.col("raw_id"), "remote_updated_at"),
+        ("mesh_events.recorded_at", events, F.col("event_id"), "recorded_at"),
+    ]
+    out = [instants.instants(df, key, "source", text, zones).select(F.lit(f).alias("field"), "rec_key", "epoch_us") for f, df, key, text in jobs]
+    return instants.all_of(out)
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    v = history.versions(table(spark, d, "field_history"), ["source", "source_id", "field"], "old_value", "new_value", "changed_at", "batch_id")
+    return v.select("source", "source_id", "field", "valid_from_us", "valid_to_us")
