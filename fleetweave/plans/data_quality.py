@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetweave.operators import history, instants, nested
+from fleetweave.operators import history, instants, nested, spikes
 from fleetweave.plans.registry import query
 from fleetweave.sources.tables import table
 
@@ -14,6 +14,17 @@ def unique_id():
     return F.concat_ws("::", "source", "source_id")
 
 
+@query("p3_readings")
+def p3_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Readings that can't be believed, with the reason."""
+    return spikes.readings(table(spark, d, "metrics"), ["cluster_id", "source", "metric_name"], "metric_id", "value", "tags", "recorded_at")
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_readings(spark, d).select("metric_id")
+
+
 def _nodes(spark: SparkSession, d: str, payload: bool) -> DataFrame:
     raw = nested.flatten(table(spark, d, "raw_store"), "raw_id", "raw_json", payload=payload)
     records = table(spark, d, "source_records").where("extra_attributes <> ''").select(unique_id().alias("unique_id"), "extra_attributes")
