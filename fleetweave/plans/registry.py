@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from fleetweave.plans import data_quality, linking_queries, mart_queries, scalar  # noqa: F401
+    from fleetweave.plans import data_quality, feed_queries, linking_queries, mart_queries, scalar  # noqa: F401
