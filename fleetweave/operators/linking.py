@@ -204,7 +204,9 @@ def clusters(edges: DataFrame, a: str = "uid_l", b: str = "uid_r") -> DataFrame:
     end when the edges no longer change. State is written between rounds.
     """
     now = staged(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct(), "star")
-    while True:
+    key = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
+    state = key(now)
+    while state[0]:
         before = now
         both = now.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(now.select(F.col("y").alias("u"), F.col("x").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -213,10 +215,9 @@ def clusters(edges: DataFrame, a: str = "uid_l", b: str = "uid_r") -> DataFrame:
         low2 = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low2, "u").select(F.col("m").alias("x"), F.col("v").alias("y")).where("x <> y").unionByName(low2.select(F.col("m").alias("x"), F.col("u").alias("y")))
         now = staged(small.distinct(), "star")
-        key = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-        same = key(now) == key(before)
         discard(before)
-        if same:
+        last, state = state, key(now)
+        if state == last:
             break
     members = now.select(F.col("y").alias("uid"), F.col("x").alias("cluster_id"))
     return members.unionByName(now.select(F.col("x").alias("uid"), F.col("x").alias("cluster_id"))).distinct()

@@ -33,7 +33,18 @@ def _nodes(spark: SparkSession, d: str, payload: bool) -> DataFrame:
     return tag(raw, "raw_store.raw_json").unionByName(tag(extra, "source_records.extra_attributes"))
 
 
-@query("p5_found")
+_OPENED = """with recursive src as (
+    select 'raw_store.raw_json' as field, raw_id::varchar as rec_key, case when json_valid(raw_json) then raw_json::json end as v, '' as path from raw_store
+    union all select 'source_records.extra_attributes', source || '::' || source_id, case when json_valid(extra_attributes) then extra_attributes::json end, '' from source_records where extra_attributes <> ''),
+  start as (select field, rec_key, v, path from src where v is not null and field = 'raw_store.raw_json' union
+    select field, rec_key, case when json_valid(m.value->>'$') then (m.value->>'$')::json end, m.key from src, json_each(src.v) m where src.v is not null and field <> 'raw_store.raw_json' and json_type(m.value) = 'VARCHAR' and starts_with(m.value->>'$', '[')),
+  walk as (select field, rec_key, v, path, false as element from start where v is not null
+    union all select w.field, w.rec_key, m.value, case when json_type(w.v) = 'ARRAY' then w.path || '[' || m.key || ']' when w.path = '' then m.key else w.path || '.' || m.key end, json_type(w.v) = 'ARRAY'
+    from walk w, json_each(w.v) m where json_type(w.v) in ('ARRAY', 'OBJECT') and json_type(m.value) in ('ARRAY', 'OBJECT'))
+  select distinct field, rec_key, path as node_path from walk where element and json_type(v) = 'OBJECT'"""
+
+
+@query("p5_found", _OPENED)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d, payload=False).where("is_element").select("field", "rec_key", "node_path")
 
@@ -57,7 +68,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return instants.all_of(out)
 
 
-@query("p7_found")
+_CLEAN = "case when lower(trim({c})) in ({l}) then null else trim({c}) end"
+_EMPTY = ", ".join(f"'{x}'" for x in history.PLACEHOLDERS)
+_VERSIONS = f"""with r as (select source, source_id, field, changed_at, arg_max({{'o': coalesce(o, chr(0)), 'n': coalesce(n, chr(0))}}, (batch_id, coalesce(n, ''))) as x from (
+    select *, {_CLEAN.format(c='old_value', l=_EMPTY)} as o, {_CLEAN.format(c='new_value', l=_EMPTY)} as n from field_history) group by 1, 2, 3, 4),
+  s as (select *, x.n as v, lag(x.n, 1, chr(0)) over w as before from r where x.o <> x.n window w as (partition by source, source_id, field order by changed_at)),
+  c as (select *, lead(changed_at) over (partition by source, source_id, field order by changed_at) as ends from s where v <> before)
+  select source, source_id, field, epoch_us(changed_at) as valid_from_us, coalesce(epoch_us(ends), -1) as valid_to_us from c where v <> chr(0)"""
+
+
+@query("p7_found", _VERSIONS)
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     v = history.versions(table(spark, d, "field_history"), ["source", "source_id", "field"], "old_value", "new_value", "changed_at", "batch_id")
     return v.select("source", "source_id", "field", "valid_from_us", "valid_to_us")
