@@ -28,7 +28,7 @@ NO_VALUE = (
 def real_value(c: Column) -> Column:
     """The text without outer blanks, or null if it only says that there is none."""
     t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    empty = F.lower(t).isin(*NO_VALUE) | F.lower(t).rlike(r"^(0+|x+|-+|\?+|\.+|_+)$")
+    empty = F.lower(t).isin(*NO_VALUE) | F.lower(t).rlike(r"^(0+|x{3,}|-+|\?+|\.+|_+)$")
     return F.when(c.isNotNull() & ~empty, t)
 
 
@@ -51,7 +51,7 @@ def survivors(records: DataFrame, trust: DataFrame, group: str, source: str, fet
     """`(group, *fields)`: for each group the surviving value of each field, null without any real value.
 
     `fields` maps a field to the column of `trust` with its rank (1 = most trusted; sources without a rank come last).
-    Of values equal in trust and recency the smallest text survives. Rows repeated in full count once; null groups are
+    Of values equal in trust and recency that of a record that dominates the others survives, else the smallest text. Rows repeated in full count once; null groups are
     left out; records without a time count as the oldest. Layers beyond the first `layers` are taken together, which
     gives the same fields: the row that is best for a field by the policy is dominated only by rows that have that
     field too and tie with it, so no later layer can better it.

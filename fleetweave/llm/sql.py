@@ -12,7 +12,7 @@ def _best(field: str) -> str:
       select cluster_id, trim({field}) as v, rank_{field} as r, fetched_at
       from source_records join source_systems using (source)
       where cluster_id like 'c-%' and {field} is not null and lower(trim({field})) not in ({_PLACEHOLDERS})
-        and not regexp_full_match(lower(trim({field})), '0+|x+|-+|\\?+|\\.+|_+')) t
+        and not regexp_full_match(lower(trim({field})), '0+|x{{3,}}|-+|\\?+|\\.+|_+')) t
     group by cluster_id)"""
 
 
