@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,8 +63,23 @@ def discard(df: DataFrame | None) -> None:
     p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+def shipped(spark: SparkSession) -> SparkSession:
+    """Give the executors this package, once per context: their Python workers import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_fleetweave_shipped", False):
+        return spark
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="fleetweave-code-")  # on the driver, which serves it to the executors
+    target = os.path.join(folder, "fleetweave_code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for at, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(at, n)
+                    z.write(full, os.path.join("fleetweave", os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    sc._fleetweave_shipped = True
+    return spark
 
 
 def default_tokenizer_dir() -> str:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetweave.session import shipped
+
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """`<base>/<name>.parquet`, a file or a folder of files."""
-    return spark.read.parquet(f"{base}/{name}.parquet")
+    """`<base>/<name>.parquet`, a file or a folder of files; the executors have this package from here on."""
+    return shipped(spark).read.parquet(f"{base}/{name}.parquet")
 
 
 def utc_micros(col) -> "F.Column":
