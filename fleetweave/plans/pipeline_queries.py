@@ -80,3 +80,13 @@ def resolved_mart(s, d):
     found = L.with_singles(rows, L.clusters(weighed.where("match_weight >= 5")))
     labelled = recs.withColumn("uid", F.concat_ws("::", "source", "source_id")).drop("cluster_id").join(found, "uid").drop("uid")
     return mart.consolidated(labelled, expand=True).withColumn("sources", F.array_join("sources", ","))
+
+
+@query("hardware_fields")
+def hardware_fields(s, d):
+    """Labelled hardware facts of the texts, one row per field (tested on its own; labels in free text aren't for SQL)."""
+    from fleetweave.functions.hardware import hardware_fields as fields
+    from fleetweave.functions.text import strip_html
+
+    docs = table(s, d, "documents").where("text is not null").select("doc_id", strip_html(F.col("text")).alias("body"))
+    return docs.select("doc_id", F.explode(fields("body")).alias("field", "value"))

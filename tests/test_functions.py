@@ -93,3 +93,10 @@ def test_zone_changes():
     assert z.utc(back) == back - 7200  # the earlier
     gap = 1_743_301_800  # 2025-03-30 02:30 local doesn't happen
     assert z.utc(gap) == gap - 3600
+
+
+def test_hardware(one):
+    from fleetweave.functions.hardware import hardware_fields
+
+    got = one(hardware_fields, "CPU: i7 Processor: x; RAM = 16 GB &; Disk: 512, Disk: 9 serial number: AB1", None, "", "focus: none")
+    assert got == [{"cpu": "i7 Processor: x", "ram": "16 GB", "storage": "512, Disk: 9", "serial_number": "AB1"}, {}, {}, {}]
