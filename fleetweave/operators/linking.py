@@ -42,6 +42,8 @@ DEVICE_COMPARISONS = (
     Comparison("exact", "ip_address", by_frequency=True), Comparison("exact", "manufacturer", by_frequency=True), Comparison("exact", "assigned_user", by_frequency=True), Comparison("exact", "os_family", by_frequency=True),
 )
 DEVICE_BLOCKING = ("serial_number", "mac_clean", "name_clean", "name_fallback")
+#: The comparison that a rule on a column without one decides: pairs equal on the rule are equal on it.
+IMPLIED = {"name_fallback": "name_clean"}
 SWEEP = (10.0, 5.0, 0.0, -2.0, -5.0, -10.0)
 _SMALL = 1e-9
 
@@ -69,13 +71,17 @@ def blocked(rows: DataFrame, rules) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def levels(pairs: DataFrame, rows: DataFrame, comparisons) -> DataFrame:
-    """`pairs` with a column `g_<column>` per comparison, and the left value of those adjusted by frequency."""
-    cols = [c.column for c in comparisons]
+def levels(pairs: DataFrame, rows: DataFrame, comparisons, rules=()) -> DataFrame:
+    """`pairs` with a column `g_<column>` per comparison, and the left value of those adjusted by frequency.
+
+    For those of `rules` that aren't compared, `b_<rule>` is whether the pair agrees on the rule (not only as the first).
+    """
+    more = [r for r in rules if r not in {c.column for c in comparisons}]
+    cols = [*(c.column for c in comparisons), *more]
     l = rows.select(F.col("uid").alias("uid_l"), *(F.col(c).alias(f"l_{c}") for c in cols))
     r = rows.select(F.col("uid").alias("uid_r"), *(F.col(c).alias(f"r_{c}") for c in cols))
     both = pairs.join(l, "uid_l").join(r, "uid_r")
-    return both.select(*pairs.columns, *(c.level(F.col(f"l_{c.column}"), F.col(f"r_{c.column}")).alias(f"g_{c.column}") for c in comparisons), *(F.col(f"l_{c.column}").alias(f"v_{c.column}") for c in comparisons if c.by_frequency))
+    return both.select(*pairs.columns, *(c.level(F.col(f"l_{c.column}"), F.col(f"r_{c.column}")).alias(f"g_{c.column}") for c in comparisons), *(F.col(f"l_{c.column}").alias(f"v_{c.column}") for c in comparisons if c.by_frequency), *(F.coalesce(F.col(f"l_{r}") == F.col(f"r_{r}"), F.lit(False)).alias(f"b_{r}") for r in more))
 
 
 def prior(rows: DataFrame, rules, recall: float = 0.5) -> float:
@@ -158,14 +164,17 @@ def trained(leveled: DataFrame, comparisons, rules, lam: float, u: dict[str, lis
     found: dict[str, list[list[float]]] = {c.column: [] for c in comparisons}
     by_name = {c.column: c for c in comparisons}
     for rule in rules:
-        here = F.col(f"g_{rule}") == by_name[rule].levels - 1 if rule in by_name else F.col("match_key") == rule
+        here = F.col(f"g_{rule}") == by_name[rule].levels - 1 if rule in by_name else F.col(f"b_{rule}") if f"b_{rule}" in leveled.columns else F.col("match_key") == rule
         counts = patterns(leveled, comparisons, here)
         if not counts:
             continue
-        lift = 0.9 / max(u[rule][-1], _SMALL) if rule in u else 1.0
+        decided = IMPLIED.get(rule, rule)
+        lift = 0.9 / max(u[decided][-1], _SMALL) if decided in u else 1.0
         inside = min(1 - 1e-6, max(1e-6, lam * lift / (lam * lift + 1 - lam)))
-        for name, v in expectation_maximisation(counts, comparisons, inside, u, rule).items():
-            found[name].append(v)
+        seen = {c.column for i, c in enumerate(comparisons) if any(g[i] >= 0 for g, _ in counts)}  # without a value on both sides a pass says nothing
+        for name, v in expectation_maximisation(counts, comparisons, inside, u, decided).items():
+            if name in seen:
+                found[name].append(v)
     if labels is not None:
         pos = leveled.join(labels.where("label = 1").select("uid_l", "uid_r"), ["uid_l", "uid_r"], "left_semi")
         counts = patterns(pos, comparisons)

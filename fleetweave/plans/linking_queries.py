@@ -13,17 +13,19 @@ _COLS = ["serial_number", "mac_clean", "name_clean", "name_fallback", "ip_addres
 LAMBDA = 0.001
 M = {"serial_number": [0.02, 0.03, 0.05, 0.9], "mac_clean": [0.02, 0.03, 0.05, 0.9], "name_clean": [0.1, 0.9], "ip_address": [0.3, 0.7], "manufacturer": [0.1, 0.9], "assigned_user": [0.2, 0.8], "os_family": [0.2, 0.8]}
 U = {"serial_number": [0.989, 0.005, 0.003, 0.003], "mac_clean": [0.99, 0.004, 0.003, 0.003], "name_clean": [0.995, 0.005], "ip_address": [0.99, 0.01], "manufacturer": [0.9, 0.1], "assigned_user": [0.99, 0.01], "os_family": [0.8, 0.2]}
-#: Records of resolved clusters: values that stand for "unknown" would block everything with everything.
+#: Values that stand for "unknown" would block everything with everything.
 _JUNK = ("n/a", "none", "null", "unknown", "-", "--", "?", "not set", "tbd", "default string", "to be filled by o.e.m.", "system serial number", "0", "0000000", "xxxxxxxx", "not specified", "123456789", "0123456789", "localhost", "laptop", "desktop", "android", "iphone", "ipad", "new-device")
 
 
-def rows(s, d):
-    return L.prepared(table(s, d, "source_records").where("cluster_id like 'c-%'"), _COLS)
+def rows(s, d, resolved: bool = False):
+    """The records to link, whatever cluster they have; with `resolved`, those of resolved clusters, as the SQL below states."""
+    records = table(s, d, "source_records")
+    return L.prepared(records.where("cluster_id like 'c-%'") if resolved else records, _COLS)
 
 
-def keyed(s, d):
+def keyed(s, d, resolved: bool = False):
     """`rows` whose blocking columns are null where they hold a placeholder."""
-    r = rows(s, d)
+    r = rows(s, d, resolved)
     for c in L.DEVICE_BLOCKING:
         r = r.withColumn(c, F.when(~F.lower(c).isin(*_JUNK), F.col(c)))
     return r
@@ -42,7 +44,9 @@ def _blocking_sql() -> str:
     return f"with k as {_KEYED} " + " union all ".join(parts)
 
 
-query("blocking_pairs", _blocking_sql())(lambda s, d: L.blocked(keyed(s, d), L.DEVICE_BLOCKING))
+# The SQL covers the records of resolved clusters only; each of its queries has a twin named `..._all` over all records.
+query("blocking_pairs", _blocking_sql())(lambda s, d: L.blocked(keyed(s, d, True), L.DEVICE_BLOCKING))
+query("blocking_pairs_all")(lambda s, d: L.blocked(keyed(s, d), L.DEVICE_BLOCKING))
 
 
 def _level_sql(c: L.Comparison) -> str:
@@ -54,19 +58,30 @@ def _level_sql(c: L.Comparison) -> str:
 _LEVELS = f"with p as ({_blocking_sql()}), k as {_KEYED} select uid_l, uid_r, match_key, " + ", ".join(f"{_level_sql(c)} as g_{c.column}" for c in L.DEVICE_COMPARISONS) + " from p join k l on l.uid = uid_l join k r on r.uid = uid_r"
 
 
-def leveled(s, d):
-    k = keyed(s, d)
+def leveled(s, d, resolved: bool = False):
+    k = keyed(s, d, resolved)
     return L.levels(L.blocked(k, L.DEVICE_BLOCKING), k, L.DEVICE_COMPARISONS)
 
 
-query("gamma_levels", _LEVELS)(lambda s, d: leveled(s, d).drop(*(f"v_{c.column}" for c in L.DEVICE_COMPARISONS)))
-query("gamma_patterns", f"select {', '.join(f'g_{c.column}' for c in L.DEVICE_COMPARISONS)}, count(*) as n from ({_LEVELS}) group by all")(
-    lambda s, d: leveled(s, d).groupBy(*(f"g_{c.column}" for c in L.DEVICE_COMPARISONS)).agg(F.count(F.lit(1)).alias("n"))
-)
+def _shown(df):
+    return df.drop(*(f"v_{c.column}" for c in L.DEVICE_COMPARISONS))
+
+
+def _patterns(df):
+    return df.groupBy(*(f"g_{c.column}" for c in L.DEVICE_COMPARISONS)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fixed_score(df):
+    return L.weights(df, L.DEVICE_COMPARISONS, LAMBDA, M, U).withColumn("match_weight", F.round("match_weight", 6))
+
+
+query("gamma_levels", _LEVELS)(lambda s, d: _shown(leveled(s, d, True)))
+query("gamma_levels_all")(lambda s, d: _shown(leveled(s, d)))
+query("gamma_patterns", f"select {', '.join(f'g_{c.column}' for c in L.DEVICE_COMPARISONS)}, count(*) as n from ({_LEVELS}) group by all")(lambda s, d: _patterns(leveled(s, d, True)))
+query("gamma_patterns_all")(lambda s, d: _patterns(leveled(s, d)))
 _WEIGHT = f"log2({LAMBDA} / (1 - {LAMBDA})) + " + " + ".join("case g_%s %s else 0 end" % (c.column, " ".join(f"when {k} then log2({M[c.column][k]} / {U[c.column][k]})" for k in range(c.levels))) for c in L.DEVICE_COMPARISONS)
-query("pair_score_fixed", f"select uid_l, uid_r, match_key, round(match_weight, 6) as match_weight from (select *, {_WEIGHT} as match_weight from ({_LEVELS})) where match_weight >= -10")(
-    lambda s, d: L.weights(leveled(s, d), L.DEVICE_COMPARISONS, LAMBDA, M, U).withColumn("match_weight", F.round("match_weight", 6))
-)
+query("pair_score_fixed", f"select uid_l, uid_r, match_key, round(match_weight, 6) as match_weight from (select *, {_WEIGHT} as match_weight from ({_LEVELS})) where match_weight >= -10")(lambda s, d: _fixed_score(leveled(s, d, True)))
+query("pair_score_all")(lambda s, d: _fixed_score(leveled(s, d)))
 query("weights_by_frequency")(lambda s, d: L.weights(leveled(s, d), L.DEVICE_COMPARISONS, LAMBDA, M, U, rows=keyed(s, d)))
 _EDGES = "select unique_id_l as a, unique_id_r as b from match_pairs where match_weight >= -5 and unique_id_l <> unique_id_r"
 
@@ -106,21 +121,26 @@ _TRAIN = " union ".join(f"""select l.uid as uid_l, r.uid as uid_r, l.source as s
   join (select {k} as k, source, min(uid) as uid from t where {k} is not null group by 1, 2) r using (k) where l.source < r.source""" for k in ("serial_number", "mac_clean", "name_clean"))
 
 
-def positives(s, d):
-    return L.training_pairs(keyed(s, d), {k: F.coalesce(k, F.lit("")) for k in ("serial_number", "mac_clean", "name_clean")})
+def positives(s, d, resolved: bool = False):
+    return L.training_pairs(keyed(s, d, resolved), {k: F.coalesce(k, F.lit("")) for k in ("serial_number", "mac_clean", "name_clean")})
 
 
-query("training_pairs", f"with t as {_KEYED} {_TRAIN}")(positives)
+query("training_pairs", f"with t as {_KEYED} {_TRAIN}")(lambda s, d: positives(s, d, True))
+query("training_pairs_all")(positives)
 query("negative_pairs")(lambda s, d: L.negative_pairs(keyed(s, d), positives(s, d)))
-query("linkage_prior")(lambda s, d: s.createDataFrame([(L.prior(keyed(s, d), L.DEVICE_BLOCKING[:3]),)], "lambda double"))
+query("linkage_prior")(lambda s, d: s.createDataFrame([(L.prior(keyed(s, d), L.DEVICE_BLOCKING),)], "lambda double"))
+
+
+def estimated(k, comparisons=L.DEVICE_COMPARISONS, rules=L.DEVICE_BLOCKING):
+    """`(lambda, m, u)` of the records `k`: prior from all rules, u from random pairs, m by one EM pass per rule."""
+    lam, u = L.prior(k, rules), L.chance_agreement(k, comparisons)
+    return lam, L.trained(L.levels(L.blocked(k, rules), k, comparisons, rules), comparisons, rules, lam, u), u
 
 
 @query("em_train")
 def em_train(s, d):
-    """`(column, level, m, u)` estimated from the data: prior from rules, u from random pairs, m by one EM pass per rule."""
-    k = keyed(s, d)
-    lam, u = L.prior(k, L.DEVICE_BLOCKING[:3]), L.chance_agreement(k, L.DEVICE_COMPARISONS)
-    m = L.trained(leveled(s, d), L.DEVICE_COMPARISONS, L.DEVICE_BLOCKING[:3], lam, u)
+    """`(column, level, m, u)` estimated from all records."""
+    _, m, u = estimated(keyed(s, d))
     return s.createDataFrame([(c.column, g, float(m[c.column][g]), float(u[c.column][g])) for c in L.DEVICE_COMPARISONS for g in range(c.levels)], "column string, level int, m double, u double")
 
 
