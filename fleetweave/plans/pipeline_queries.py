@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetweave.operators import mart
 from fleetweave.plans.registry import query
 from fleetweave.plans.scalar import family_sql, mac_sql, name_sql, serial_sql, strip_sql
+from fleetweave.session import staged
 from fleetweave.sources import default, manifest
 from fleetweave.sources.tables import table
 
@@ -68,16 +69,18 @@ def name_fallback(s, d):
 
 @query("resolved_mart")
 def resolved_mart(s, d):
-    """The pipeline from raw records to the mart: provisional records linked, clustered and consolidated."""
+    """The pipeline from normalised records to the mart: all records, whatever cluster they have, linked, clustered and consolidated.
+
+    Prior, m and u are estimated from the records. It reads source_records, as raw_store holds only some of them.
+    """
     from fleetweave.operators import linking as L
-    from fleetweave.plans.linking_queries import _JUNK, LAMBDA, M, U
+    from fleetweave.plans.linking_queries import estimated, keyed
 
-    recs = table(s, d, "source_records").where("cluster_id like 'new-%'")
-    rows = L.prepared(recs, [c.column for c in L.DEVICE_COMPARISONS] + list(L.DEVICE_BLOCKING))
-    for c in L.DEVICE_BLOCKING:
-        rows = rows.withColumn(c, F.when(~F.lower(c).isin(*_JUNK), F.col(c)))
-    weighed = L.weights(L.levels(L.blocked(rows, L.DEVICE_BLOCKING[:3]), rows, L.DEVICE_COMPARISONS), L.DEVICE_COMPARISONS, LAMBDA, M, U)
+    rows = staged(keyed(s, d), "link")
+    lam, m, u = estimated(rows)
+    weighed = L.weights(L.levels(L.blocked(rows, L.DEVICE_BLOCKING), rows, L.DEVICE_COMPARISONS), L.DEVICE_COMPARISONS, lam, m, u, rows=rows)
     found = L.with_singles(rows, L.clusters(weighed.where("match_weight >= 5")))
+    recs = table(s, d, "source_records")
     labelled = recs.withColumn("uid", F.concat_ws("::", "source", "source_id")).drop("cluster_id").join(found, "uid").drop("uid")
     return mart.consolidated(labelled, expand=True).withColumn("sources", F.array_join("sources", ","))
 

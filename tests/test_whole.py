@@ -53,3 +53,9 @@ def test_pass_of_a_rule_without_comparison(spark, mixed):
     m = L.trained(lev, L.DEVICE_COMPARISONS, ("name_fallback",), 0.01, u)
     default = L.trained(lev, L.DEVICE_COMPARISONS, (), 0.01, u)
     assert m["serial_number"] == default["serial_number"] and m["name_clean"] == default["name_clean"]
+
+
+def test_mart_of_all_records(spark, mixed):
+    devices = registry.queries()["resolved_mart"](spark, mixed).collect()
+    assert sum(r.record_count for r in devices) == 35
+    assert [(r.cluster_id, r.sources, r.record_count) for r in devices if r.serial_number == "SER0001"] == [("me_ec::2", "me_ec,sp,zbx", 3)]
