@@ -12,12 +12,12 @@ from fleetweave.sources import default, manifest
 from fleetweave.sources.tables import table
 
 
-def silver(s, d, extra: bool = True):
+def silver(s, d, extra: bool = True, feeds: dict = default.FEEDS):
     """Records of all anchor feeds: the raw store of each source, extracted by its spec and normalised."""
     raw = table(s, d, "raw_store").select("source", "raw_json")
     parts = []
     for key, source in default.FEED_SOURCES.items():
-        mine = manifest.walk(raw.where(F.col("source") == source), default.FEEDS[key])
+        mine = manifest.walk(raw.where(F.col("source") == source), feeds[key])
         parts.append(manifest.normalized(mine if extra else mine.drop("extra_attributes"), source, default.FIELDS))
     return manifest.union_of(parts)
 
@@ -25,7 +25,7 @@ def silver(s, d, extra: bool = True):
 def _silver_sql(columns: tuple[str, ...]) -> str:
     parts = []
     for key, source in default.FEED_SOURCES.items():
-        f = default.FEEDS[key]
+        f = default.SQL_FEEDS[key]
 
         def at(p: str) -> str:
             path = "$" + "".join(f"[{x}]" if x.isdigit() else f'."{x}"' for x in p.split("."))
@@ -50,7 +50,8 @@ def _silver_sql(columns: tuple[str, ...]) -> str:
 
 
 _SHOWN = ("source", "source_id", "name_clean", "serial_number", "mac_clean", "manufacturer", "os_family", "mdm_latitude", "assigned_user", "ip_address")
-query("walk_feeds", _silver_sql(_SHOWN))(lambda s, d: silver(s, d, extra=False).select(*_SHOWN))
+query("walk_feeds", _silver_sql(_SHOWN))(lambda s, d: silver(s, d, extra=False, feeds=default.SQL_FEEDS).select(*_SHOWN))
+query("walk_feeds_all")(silver)
 query("feed_extras")(lambda s, d: silver(s, d).select("source", "source_id", "extra_attributes").where("extra_attributes <> ''"))
 
 
