@@ -62,8 +62,8 @@ def readings(metrics: DataFrame, series: list[str], key: str, value: str, tags:
     Readings without a value are no readings. A `key` delivered again counts once (repeats have the same time and
     value). Null series columns are a value of their own; readings without a time come first, those of one time in
     order of `key`. An empty table gives an empty table. Series of more than `target` rows are cut in time, with the
-    readings at either side of a cut for the windows; their ranges are merged over the cuts, while what is looked at
-    besides (does it otherwise move, changes of level) is that of the piece.
+    readings at either side of a cut for the windows; their ranges, whether they otherwise move and their changes of level are
+    merged over the cuts, so that the size of a series doesn't change what is found.
     """
     names = [f"s{i}" for i in range(len(series))]
     rows = metrics.where(F.col(value).isNotNull()).select(
@@ -112,7 +112,16 @@ def readings(metrics: DataFrame, series: list[str], key: str, value: str, tags:
     timed = timed.withColumn("lasting", F.max("long_out").over(frame(0, FEW)))
     loose = F.when(~F.col("run") & ~F.col("bad") & (~F.col("beyond") | F.col("lasting")), v)
     level = F.when(F.col("lasting") & F.col("beyond"), v)
-    timed = timed.withColumns({"moves": F.max(loose).over(whole) > F.min(loose).over(whole), "l_lo": F.min(level).over(whole), "l_hi": F.max(level).over(whole)})
+    if pieces.cut:
+        # the pieces of a cut series are summed up to one row; there are as many as series beyond the target
+        parts = timed.where("_own and _chunk > 0").select(*names, loose.alias("loose"), level.alias("level"))
+        series_of = parts.groupBy(*names).agg(F.lit(True).alias("is_cut"), (F.max("loose") > F.min("loose")).alias("c_moves"), F.min("level").alias("c_lo"), F.max("level").alias("c_hi"))
+        timed = timed.join(F.broadcast(series_of), names, "left")
+        of = lambda c, piece: F.when(F.col("is_cut"), F.col(c)).otherwise(piece)
+    else:
+        of = lambda _, piece: piece
+    extent = {"moves": F.max(loose).over(whole) > F.min(loose).over(whole), "l_lo": F.min(level).over(whole), "l_hi": F.max(level).over(whole)}
+    timed = timed.withColumns({n: of(c, extent[n]) for n, c in (("moves", "c_moves"), ("l_lo", "c_lo"), ("l_hi", "c_hi"))})
     lo, hi = F.least("lo", "l_lo"), F.greatest("hi", "l_hi")
     spike = F.col("beyond") & ~F.col("lasting") & ((v > hi + (hi - lo)) | (v < lo - (hi - lo)))
     reason = F.when(F.col("bad"), F.lit("impossible")).when(spike, F.lit("spike")).when(F.col("run") & F.coalesce("moves", F.lit(False)), F.lit("stuck"))
