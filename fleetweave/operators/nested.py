@@ -97,14 +97,28 @@ def _parse_deep(text: str):
         return NotImplemented
 
 
+def _plain(name: str, array: list):
+    """`(name, members)` of `array` and the arrays within it that are empty or have members that aren't objects or arrays."""
+    stack = [(name, array)]
+    while stack:
+        n, v = stack.pop()
+        if (rest := [y for y in v if not isinstance(y, (dict, list))]) or not v:
+            yield n, rest
+        stack.extend((f"{n}[{i}]", y) for i, y in enumerate(v) if isinstance(y, list))
+
+
 def visit(value, path: str = "", tag: str = "", parent: str | None = None, payload: bool = True):
     """`(tag, path, parent path, is element, payload)` of each object, depth first.
 
     The root object has the path and tag `''`. Objects within objects belong to the row of the object around them,
     their members under dotted names; objects in arrays are rows of the table named by their path without positions.
-    Array members that aren't objects stay in the payload as JSON.
+    Array members that aren't objects stay in the payload: those of an array under its name, those of an array within it
+    under its name and positions (`grid[0]`), those of an array at the root in a row of the root, which has no name
+    (`''`, `[0]`). Empty arrays and objects stay as they are.
     """
     stack = [(value, path, tag, parent, False)]
+    if payload and isinstance(value, list) and (own := dict(_plain("", value))):
+        yield tag, path, parent, False, own
     while stack:
         v, p, t, up, element = stack.pop()
         if isinstance(v, list):
@@ -120,10 +134,12 @@ def visit(value, path: str = "", tag: str = "", parent: str | None = None, paylo
                 name = f"{prefix}.{k}" if prefix else k
                 if isinstance(x, dict):
                     inner.append((name, x))
+                    if payload and not x:
+                        own[name] = x
                 elif isinstance(x, list):
                     arrays.append((name, x))
-                    if payload and (rest := [y for y in x if not isinstance(y, (dict, list))]):
-                        own[name] = rest
+                    if payload:
+                        own.update(_plain(name, x))
                 elif payload:
                     own[name] = x
         yield t, p, up, element, own
