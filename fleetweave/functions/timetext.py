@@ -30,6 +30,8 @@ _DAY0 = date(1970, 1, 1).toordinal()
 #: Microseconds from 1601 to 1970, where counters of 100 ns begin.
 _SINCE_1601 = 11_644_473_600_000_000
 _NEVER = 2**63 - 1
+#: Dates that systems write for "never": the first and last of their calendars and the beginnings of their counters (fixed values).
+NEVER_DATES = frozenset({(1, 1, 1), (1601, 1, 1), (1970, 1, 1), (9999, 12, 31)})
 
 
 def _micro(digits: str | None) -> int:
@@ -42,7 +44,8 @@ def read(text: str, month_first: bool) -> tuple[int | None, int, int, int | None
     the `micro`seconds of its fraction, and the minutes of its zone (None without one). None if it names no time.
 
     `month_first` settles dates of digits only; a month beyond 12 turns the two round. Counters are told apart by their
-    digits: seconds, milliseconds, microseconds, 100 ns since 1601, nanoseconds; 0 and the largest number are "never".
+    digits: seconds, milliseconds, microseconds, 100 ns since 1601, nanoseconds; 0 and the largest number are "never", as are
+    the dates of `NEVER_DATES` without a time of day (9999-12-31 at any).
     """
     t = text.strip()
     c = _COUNT.match(t)
@@ -74,6 +77,8 @@ def read(text: str, month_first: bool) -> tuple[int | None, int, int, int | None
         h = h % 12 + (12 if half[0] in "Pp" else 0)
     if month is None or h > 23 or mi > 59 or s > 59:
         return None
+    if (int(y), month, int(d)) in NEVER_DATES and (int(y) == 9999 or not (h or mi or s)):
+        return None
     try:
         day = date(int(y), month, int(d)).toordinal() - _DAY0
     except ValueError:

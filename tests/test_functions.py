@@ -82,9 +82,10 @@ def test_counted_times_and_none():
     us = UTC0 * 10**6
     for t in (str(UTC0), f"{UTC0}.000", f"{UTC0}000", f"{UTC0}000000", str((us + 11_644_473_600_000_000) * 10), f"/Date({UTC0}000)/"):
         assert read(t, False)[0] == us, t
-    for t in ("", "never", "0", "9223372036854775807", "null", "--", "n/a", "2025-13-01", "2025-02-30 10:00", "2025-01-01 25:00", "2025-01-01 00:00 XYZ"):
+    for t in ("", "never", "0", "9223372036854775807", "null", "--", "n/a", "2025-13-01", "2025-02-30 10:00", "2025-01-01 25:00", "2025-01-01 00:00 XYZ", "0001-01-01T00:00:00Z", "01/01/0001", "1601-01-01 00:00:00", "1970-01-01T00:00:00+00:00", "9999-12-31 23:59:59"):
         assert read(t, False) is None, t
     assert read("02/03/2025 00:00:00", True)[1] == UTC0 + 33 * 86400  # month first
+    assert read("1970-01-01 00:00:01", False)[1] == 1 and read("0002-01-01", False) is not None
 
 
 def test_zone_changes():
