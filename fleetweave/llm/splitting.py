@@ -1,7 +1,6 @@
 """p10: texts over a size limit in pieces that end where the text itself breaks.
 
-Positions are token positions of the whole text. A dynamic programme over candidate positions picks the ends that
-minimise the sum of cut penalties and of the squared deviation from even sizes, with every piece within the limit and
+Positions are token positions of the whole text. A dynamic programme over all of them picks the ends that minimise the sum of cut penalties and of the squared deviation from even sizes, with every piece within the limit and
 each piece beginning `overlap` tokens before the end of the one before it.
 """
 
@@ -39,12 +38,16 @@ def cut_penalties(raw: bytes, offsets):
     return cost
 
 
-def split_points(raw: bytes, lengths, limit: int, overlap: int):
+def split_points(raw: bytes, lengths, limit: int, overlap: int, block: int = 128):
     """`[(start, end), ...]` in tokens for a text of `sum(lengths)` bytes; `lengths` has the bytes of each token.
 
-    One piece if it fits. Ends lie on whole characters. A start lies exactly `overlap` tokens before the last end, or
-    up to three more where that would cut a character. Of every limit/20 neighbouring positions only the cheapest
-    (the last of several) is a candidate.
+    One piece if it fits. Ends lie on whole characters, and every such position is a candidate. A start lies exactly
+    `overlap` tokens before the last end, or up to three more where that would cut a character.
+
+    Positions are worked out `block` by `block` against the earlier ends that may still begin a best piece. An earlier
+    end is left out for good once a later one costs no more with the piece up to the current position: that piece can
+    go on for longer, and the difference of the two squares only falls as the position moves on. Ends within the block
+    are compared one by one where their own sums say that they could win. So the result is the minimum over all positions.
     """
     import numpy as np
 
@@ -57,40 +60,57 @@ def split_points(raw: bytes, lengths, limit: int, overlap: int):
     whole = np.isfinite(cost)
     whole[0] = whole[n] = True
     back = np.maximum.accumulate(np.where(whole, np.arange(n + 1), 0))  # whole character at or before
-    block = max(1, (limit - overlap) // 20)
-    blocks = -(-n // block)
-    padded = np.full(blocks * block, np.inf)
-    padded[: n] = cost[:n]
-    padded[: overlap + 1] = np.inf
-    last = block - 1 - np.argmin(padded.reshape(blocks, block)[:, ::-1], axis=1) + np.arange(blocks) * block
-    ends = last[np.isfinite(padded[last])]
-    ends = np.append(ends, n)
-    starts = back[np.maximum(ends - overlap, 0)]
-    count = max(1, -(-(n - overlap) // (limit - overlap)))
-    even = overlap + (n - overlap) / count
+    whole[: overlap + 1] = False
+    ends = np.flatnonzero(whole)
+    starts = back[ends - overlap]
     fee = cost[ends] + PIECE
     fee[-1] = PIECE
-    best = np.full(len(ends), np.inf)
+    count = max(1, -(-(n - overlap) // (limit - overlap)))
+    even = overlap + (n - overlap) / count
+    c = BALANCE / limit**2
+    short = c * max(0.0, even - overlap - block - 3) ** 2  # least balance term of a piece within a block
+    x = ends - even
+    square = c * x * x
+    terms = np.column_stack((x, np.ones(len(x))))
     came = np.full(len(ends), -1)
-    sizes = ends - 0
-    fits = sizes <= limit
-    best[fits] = fee[fits] + BALANCE * ((sizes[fits] - even) / limit) ** 2
-    first = np.searchsorted(starts, ends - limit)  # earliest candidate whose successor may begin there
-    e, lo = ends.tolist(), first.tolist()
-    for j in range(len(e)):
-        i = lo[j]
-        if i >= j or fits[j]:
-            continue
-        size = e[j] - starts[i:j]
-        f = best[i:j] + (BALANCE / limit**2) * (size - even) ** 2
-        k = int(f.argmin())
-        best[j], came[j] = f[k] + fee[j], i + k
-    if not np.isfinite(best[-1]):
+    # the ends that a piece may follow, as columns: the square (x - start)^2 is taken apart so that a block is one product.
+    # Rows: where the piece begins, its factor of x, what is left of the sum without x, which end it is (-1: the beginning)
+    columns = np.array((starts, -2 * c * starts, c * starts**2, np.arange(len(ends))))
+    live = np.array([[0.0], [0.0], [0.0], [-1.0]])
+    last, rows = np.inf, np.arange(block)
+    for a in range(0, len(ends), block):
+        z = min(a + block, len(ends))
+        sums = terms[a:z] @ live[1:3]
+        gone = live[0].searchsorted(ends[z - 1] - limit)
+        for i, r in enumerate(ends[a:z].searchsorted(live[0, :gone] + limit, "right").tolist()):
+            sums[r:, i] = np.inf  # too long from here on
+        k = sums.argmin(axis=1)
+        least = sums[rows[: z - a], k] + square[a:z]
+        best = least + fee[a:z]
+        came[a:z] = live[3, k]
+        if (np.minimum.accumulate(best[:-1]) + short < least[1:]).any():
+            for j in range(1, z - a):
+                inner = ends[a + j] - starts[a : a + j]
+                f = np.where(inner > limit, np.inf, best[:j] + c * (inner - even) ** 2)
+                i = int(f.argmin())
+                if f[i] < least[j]:
+                    best[j], came[a + j] = f[i] + fee[a + j], a + i
+        if z == len(ends):
+            last = best[-1]
+            break
+        columns[2, a:z] += best
+        live = np.concatenate((live, columns[:, a:z]), axis=1)
+        live = live[:, live[0].searchsorted(ends[z] - limit) :]
+        price = live[1] * x[z] + live[2]
+        keep = np.ones(len(price), dtype=bool)
+        np.less(price[:-1], np.minimum.accumulate(price[:0:-1])[::-1], out=keep[:-1])
+        live = live[:, keep]
+    if not np.isfinite(last):
         raise ValueError("no cut within the limit; limit and overlap are too close")
     out, j = [], len(ends) - 1
     while j >= 0:
         i = int(came[j])
-        out.append((int(starts[i]) if i >= 0 else 0, e[j]))
+        out.append((int(starts[i]) if i >= 0 else 0, int(ends[j])))
         j = i
     out.reverse()
     return out

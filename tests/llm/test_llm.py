@@ -166,7 +166,7 @@ def test_pieces(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab .,\n日🙂é", min_size=40, max_size=400))
 def test_split_points_are_best(text):
-    """The programme over candidates against all choices of candidates (with blocks of one position all are candidates)."""
+    """The programme against all choices of ends."""
     import numpy as np
 
     raw = text.encode()
@@ -195,6 +195,51 @@ def test_split_points_are_best(text):
     assert price(got) == pytest.approx(best[n])
 
 
+def plain_price(raw, lengths, limit, overlap, spans=None):
+    """Cost of `spans`, or of the best ones by the programme written out for every end and every end before it."""
+    import numpy as np
+
+    n = len(lengths)
+    off = np.concatenate(([0], np.cumsum(lengths)))
+    cost = splitting.cut_penalties(raw, off)
+    whole = np.isfinite(cost)
+    whole[0] = whole[n] = True
+    back = np.maximum.accumulate(np.where(whole, np.arange(n + 1), 0))
+    count = max(1, -(-(n - overlap) // (limit - overlap)))
+    even = overlap + (n - overlap) / count
+    piece = lambda size: splitting.PIECE + splitting.BALANCE * ((size - even) / limit) ** 2
+    if spans is not None:
+        return sum((cost[e] if e < n else 0) + piece(e - s) for s, e in spans)
+    best = np.full(n + 1, np.inf)
+    for e in range(overlap + 1, n + 1):
+        if whole[e]:
+            fee = cost[e] if e < n else 0
+            lo = max(overlap + 1, e - limit)
+            p = np.arange(lo, e)
+            size = e - back[p - overlap]
+            f = np.where(size <= limit, best[lo:e] + piece(size), np.inf)
+            best[e] = fee + min(f.min(initial=np.inf), piece(e) if e <= limit else np.inf)
+    return best[n]
+
+
+def test_cut_documents_are_best(spark):
+    """At the production limit, for documents of the tables and texts without blanks."""
+    import numpy as np
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text is not null").collect()
+    texts = [r.text for r in rows] + ["x9" * 3000, "🙂🙃" * 900, "日本語のテキストです。" * 200, "a. " * 700 + "word " * 900 + "\n\n" + "z" * 4000]
+    seen = 0
+    for t in texts:
+        lengths = np.array([len(A.automaton.labels[i]) for i in np.frombuffer(A.encode(t), dtype=np.int32).tolist()])
+        if len(lengths) > 512:
+            raw = t.encode()
+            got = splitting.split_points(raw, lengths, 512, 32)
+            assert all(0 < e - s <= 512 for s, e in got)
+            assert plain_price(raw, lengths, 512, 32, got) == pytest.approx(plain_price(raw, lengths, 512, 32), abs=1e-9)
+            seen += 1
+    assert seen > 100
+
+
 # p2
 
 
