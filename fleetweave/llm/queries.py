@@ -35,18 +35,30 @@ def _attributes(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return linkage.attributes(records, unique_id(), "source", "serial_number", "mac_clean", "name_clean", "ip_address", "fetched_at")
 
 
-def p4_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Matches with their confidence, calibrated on a sample of some 2,000 resolved clusters."""
+def _curve(spark: SparkSession, d: str, clusters: int = 2000) -> tuple[float, ...]:
+    """Fitted on a sample of some `clusters` resolved clusters, whole groups of them with like names, so that look-alikes are in it."""
     resolved = table(spark, d, "source_records").where(F.col("cluster_id").startswith("c-"))
-    number = table(spark, d, "devices").count()
-    sample = resolved.where(F.pmod(F.xxhash64("cluster_id"), F.lit(max(1, number // 2000))) == 0)
+    number = resolved.agg(F.approx_count_distinct("cluster_id")).first()[0]
+    group = F.pmod(F.xxhash64(F.substring(F.min("name_clean"), 1, 5)), F.lit(max(1, number // clusters)))
+    chosen = resolved.groupBy("cluster_id").agg(group.alias("group")).where("group = 0").select("cluster_id")
+    sample = resolved.join(chosen, "cluster_id", "left_semi")
     truth = sample.groupBy(unique_id().alias("u")).agg(F.min("cluster_id").alias("cluster"))
     known = linkage.attributes(sample, unique_id(), "source", "serial_number", "mac_clean", "name_clean", "ip_address", "fetched_at")
-    return linkage.matches(_attributes(spark, d, "new-"), linkage.fit(known, truth))
+    return linkage.fit(known, truth)
+
+
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Matches with their confidence."""
+    return linkage.matches(_attributes(spark, d, "new-"), _curve(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.matches(_attributes(spark, d, "new-")).select("unique_id_l", "unique_id_r")
+    return p4_matches(spark, d).select("unique_id_l", "unique_id_r")
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """The record that stands for each record in `p4_matches`."""
+    return linkage.members(_attributes(spark, d, "new-"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -74,4 +86,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p4_found, p4_matches, p8_ids, p8_decoded, p9_containers, p10_found, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_survivors, p2_found, p4_found, p4_matches, p4_members, p8_ids, p8_decoded, p9_containers, p10_found, p10_pieces)}

@@ -332,7 +332,8 @@ def crowd(n):
 
 
 def test_matches(spark):
-    rows = crowd(400) + [
+    # a name is common by how many bear it, so others in the crowd are laptops too
+    rows = crowd(400) + [(f"l{i}", "abcd"[i % 4], "", "", "laptop", f"10.8.0.{i}") for i in range(40)] + [
         ("a1", "a", "MXM0041GNF", "", "sw830914", ""), ("b1", "b", "SN-MXMOO4IGNF", "f017748f5efc", "sw830914", "10.1.1.1"), ("c1", "c", "", "f017748f5efc", "SW830914-old", "10.1.1.1"), ("d1", "d", "n/a", "", "sw830914", "10.1.1.1"),
         ("a2", "a", "5TKRGBRXW", "584818210ddc", "qro-nb-77", "10.1.1.2"), ("b2", "b", "9PLQZZTTA", "3ce79dc26eb7", "qro-nb-77", "10.1.1.2"),  # a successor
         ("a3", "a", "CNSCTW3SH3", "a4a51f27f309", "lap-3kdq00a", ""), ("b3", "b", "CNSCTW3SH7", "9c29d5f30a4a", "lap-3kdq00b", ""),  # of one batch
@@ -351,7 +352,7 @@ def test_matches_edges(spark):
     assert found(spark, [("x", "a", "SAME12345", "", "", "")] * 3 + [("y", "b", "same12345", "", "", "")]).keys() == {("x", "y")}
 
 
-def test_pruning_is_exact(spark):
+def test_pruning_is_exact(spark, monkeypatch):
     """Candidates equal those of a comparison of everything with everything."""
     import math
 
@@ -360,18 +361,46 @@ def test_pruning_is_exact(spark):
     rows = [(f"u{i}", "abcd"[i % 4], r.choice([*serials, ""]), "", r.choice([*names, ""]), r.choice(ips)) for i in range(150)]
     df = spark.createDataFrame([(*x, T0) for x in rows], RECORD)
     cls = linkage.classes(linkage.attributes(df, F.col("uid"), "source", "serial", "mac", "name", "ip", "at")).cache()
-    parts = {x.c: set(x.p) for x in cls.select("c", linkage._parts().alias("p")).collect()}
-    n = len(parts)
+    rows = cls.select("c", "reps", linkage._parts().alias("p")).collect()
+    parts = {x.c: {y.part for y in x.p} for x in rows}
+    n = sum(len(x.reps) for x in rows)
     df_ = {}
-    for p in parts.values():
-        for t in p:
-            df_[t] = df_.get(t, 0) + 1
+    for x in rows:
+        for t in parts[x.c]:
+            df_[t] = df_.get(t, 0) + len(x.reps)
     idf = {t: math.log(1 + (n - k + 0.5) / (k + 0.5)) for t, k in df_.items()}
     least = linkage.SHARE * math.log(1 + (n - 1.5) / 2.5)
     want = {(a, b): sum(idf[t] for t in parts[a] & parts[b]) for a in parts for b in parts if a < b}
     want = {k: round(v, 6) for k, v in want.items() if v >= least}
-    got = {(x.a, x.b): round(x.score, 6) for x in linkage.candidates(cls).collect()}
-    assert got == want and want
+    for hot in (500, 3):  # parts of more than three classes are split
+        monkeypatch.setattr(linkage, "HOT", hot)
+        got = [(x.a, x.b, round(x.score, 6)) for x in linkage.candidates(linkage.indexed(cls)).collect()]
+        assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want and want
+
+
+def test_mixture():
+    """Weights found in pattern counts of matches and others with known rates, some values missing."""
+    r = random.Random(6)
+    rates = {1: (0.0, 0.02, 0.08, 0.1, 0.8), 0: (0.0, 0.95, 0.02, 0.02, 0.01)}
+    counts: dict[int, int] = {}
+    for _ in range(30_000):
+        y = int(r.random() < 0.15)
+        code = 0
+        for _ in range(4):
+            code = code * 5 + (0 if r.random() < 0.3 else r.choices(range(5), rates[y])[0])
+        counts[code] = counts.get(code, 0) + 1
+    m = linkage.mixture(list(counts.items()))
+    assert m.prior == pytest.approx(-1.73, abs=0.1)
+    for w in m.weights:
+        assert w[0] == 0 and w[1] == pytest.approx(-3.86, abs=0.6) and w[2] == pytest.approx(1.39, abs=0.6) and w[4] == pytest.approx(4.38, abs=0.6)
+    assert linkage.mixture([]).weights[0][0] == 0
+
+
+def test_members(spark):
+    rows = [(f"a{i}", "a", "SAME12345", "", "", "", T0) for i in range(5)] + [("b1", "b", "SAME12345", "", "", "", T0), ("e1", "a", "", None, "", "", T0), ("e2", "a", "", None, "", "", T0)]
+    a = linkage.attributes(spark.createDataFrame(rows, RECORD), F.col("uid"), "source", "serial", "mac", "name", "ip", "at")
+    got = {r.unique_id: r.representative for r in linkage.members(a).collect()}
+    assert got == {f"a{i}": "a0" for i in range(5)} | {"b1": "b1", "e1": "e1", "e2": "e2"}
 
 
 def test_calibration():
