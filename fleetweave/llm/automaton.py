@@ -1,4 +1,4 @@
-"""Byte-pair encoding as a deterministic automaton over tokens.
+"""Byte-pair encoding as a deterministic automaton over tokens, compiled into tables.
 
 The automaton starts with one state per byte and an arc from every state to every byte. Each merge `(u, v) -> w`, in
 rank order, is one gadget on it:
@@ -6,21 +6,29 @@ rank order, is one gadget on it:
 * a new state `w` takes over the outgoing arcs of `v`, and arcs labelled `w` appear wherever an arc `u` led,
 * the arc `v` is taken from state `u`, because `u v` can't stand side by side any more.
 
-What is left after the last gadget accepts exactly the right encodings, and every string has one path through it. The
-full table of a 50k vocabulary has some 10^9 arcs, so arcs are compiled when first asked for: replaying the gadgets
-that concern one arc walks down the left and right spines of its two tokens (`arc`) and takes a handful of steps.
-Encoding a word is then a walk over its bytes: as prefixes of right encodings are right encodings, every position has
-one state only, and the labels of the arcs on the way back from the last position are the ids.
+What is left after the last gadget accepts exactly the right encodings, and every string has one path through it. A
+vocabulary of 50k tokens leaves some 10^9 arcs, so the gadgets work on their complement. Arc `v` of state `u` is copied,
+if it isn't there any more, to every state that ends in `u` by a later merge and to every label that begins with `v` by
+one. With states in depth-first order of the trees "ends in" and labels in that of "begins with", later merges first, both
+are intervals: a gadget takes out one rectangle. `compiled` cuts the rectangles by state into a sorted list of the
+intervals of labels that have no arc: about 20 a state, a few megabytes for a whole vocabulary.
+
+The labels are spelled in bytes by a second table, from (node, byte) to node. Encoding a word walks both tables: as
+prefixes of right encodings are right encodings, every position has one state only, and the labels of the arcs on the
+way back from the last position are the ids. Decoding puts the labels of the arcs together. The tables are compiled once,
+by the driver, and sent to the workers as one block of bytes, whose size the vocabulary bounds.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import pickle
 import re
 import sys
 import unicodedata
 from array import array
+from bisect import bisect_right
 
 import regex
 
@@ -57,29 +65,102 @@ def _byte_alphabet() -> dict[str, int]:
     return out
 
 
+def _spans(tokens, half, rank):
+    """Positions of the tokens in depth-first order of the trees in which `half[w]` is above `w`, later merges first;
+    the position after each tree; and the children of each token."""
+    below: dict[int, list[int]] = {}
+    for w in tokens:
+        if rank[w] >= 0:
+            below.setdefault(half[w], []).append(w)
+    for k in below.values():
+        k.sort(key=lambda w: -rank[w])
+    at, end, n = {}, {}, 0
+    todo = [(w, False) for w in tokens if rank[w] < 0]
+    while todo:
+        w, left = todo.pop()
+        if left:
+            end[w] = n
+            continue
+        at[w] = n
+        n += 1
+        todo.append((w, True))
+        todo.extend((c, False) for c in reversed(below.get(w, ())))
+    return at, end, below
+
+
+def compiled(tokens: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> dict:
+    """The tables of a vocabulary, as arrays.
+
+    `state` and `label` give a token its place as a state and as a label; the labels without an arc from the state at
+    place `x` are those in `[lo, hi)` at `row[x]` to `row[x + 1]`. `edge` (node * 256 + byte) leads to `node`, and `token`
+    is what a node spells, -1 for no token. `text` and `cut` hold the bytes of the tokens by id.
+    """
+    import numpy as np
+
+    top = max(tokens.values()) + 1
+    rank, left, right = [-1] * top, [-1] * top, [-1] * top
+    pair: dict[tuple[int, int], int] = {}
+    for r, (u, v) in enumerate(merges):
+        a, b, w = tokens[u], tokens[v], tokens[u + v]
+        if rank[w] < 0:
+            rank[w], left[w], right[w] = r, a, b
+        pair.setdefault((a, b), r)
+    ids = sorted(tokens.values())
+    states, states_end, ends_in = _spans(ids, right, rank)
+    labels, labels_end, begins_with = _spans(ids, left, rank)
+
+    def until(at, end, below, w, r, same):
+        """The place after `w` and the tokens made of it later than by merge `r` (or by it, if `same`)."""
+        c = below.get(w, ())
+        n = bisect_right(c, -r if same else -r - 1, key=lambda x: -rank[x])
+        return end[c[n - 1]] if n else at[w] + 1
+
+    # one gadget a merge; equal pairs merge from the left, so what the same merge makes is gone as a label only
+    cuts = np.array([(states[u], until(states, states_end, ends_in, u, r, False), labels[v], until(labels, labels_end, begins_with, v, r, True)) for (u, v), r in pair.items()] or np.zeros((0, 4)), dtype=np.int64)
+    wide = cuts[:, 1] - cuts[:, 0]
+    x = np.repeat(cuts[:, 0], wide) + np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+    lo, hi = np.repeat(cuts[:, 2], wide), np.repeat(cuts[:, 3], wide)
+    order = np.lexsort((-hi, lo, x))
+    x, lo, hi = x[order], lo[order], hi[order]
+    # intervals of a state lie apart or within each other: only the outermost count
+    reach = x * (top + 1) + hi
+    outer = np.append(True, reach[1:] > np.maximum.accumulate(reach)[:-1])[: len(x)]
+    x, lo, hi = x[outer], lo[outer], hi[outer]
+
+    edge: dict[int, int] = {}
+    token = [-1]
+    for t, i in tokens.items():
+        node = 0
+        for byte in t:
+            k = node << 8 | byte
+            node = edge.get(k)
+            if node is None:
+                node = edge[k] = len(token)
+                token.append(-1)
+        token[node] = i
+    place = lambda at: np.array([at.get(i, -1) for i in range(top)], dtype=np.int32)
+    text = {i: t for t, i in tokens.items()}
+    return {
+        "state": place(states), "label": place(labels), "row": np.searchsorted(x, np.arange(len(ids) + 1)).astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32),
+        "edge": np.fromiter(edge, dtype=np.int64, count=len(edge)), "node": np.fromiter(edge.values(), dtype=np.int32, count=len(edge)), "token": np.array(token, dtype=np.int32),
+        "text": np.frombuffer(b"".join(text.get(i, b"") for i in range(top)), dtype=np.uint8), "cut": np.cumsum([0] + [len(text.get(i, b"")) for i in range(top)]).astype(np.int64),
+    }
+
+
 class Automaton:
-    """Encoder and decoder of one vocabulary. Texts of special tokens are ordinary text."""
-
-    def __init__(self, tokens: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
-        self.ids = tokens
-        self.labels = {i: t for t, i in tokens.items()}
-        top = max(self.labels) + 1
-        self.rank = array("i", [-1]) * top
-        self.left = array("i", [-1]) * top
-        self.right = array("i", [-1]) * top
-        self.pair: dict[int, int] = {}
-        for r, (u, v) in enumerate(merges):
-            w, a, b = tokens[u + v], tokens[u], tokens[v]
-            if self.rank[w] < 0:
-                self.rank[w], self.left[w], self.right[w] = r, a, b
-            self.pair.setdefault(a << 32 | b, r)
-        # every prefix of a token, with the token's id if it is one
-        self.prefix: dict[bytes, int] = {}
-        for t, i in tokens.items():
-            for k in range(1, len(t)):
-                self.prefix.setdefault(t[:k], -1)
-        self.prefix.update(tokens)
-        self.arcs: dict[int, bool] = {}
+    """Encoder and decoder of one vocabulary by its tables. Texts of special tokens are ordinary text."""
+
+    def __init__(self, tables: dict):
+        self.tables = tables
+        whole = lambda n: array("i", tables[n].tobytes())
+        self.state, self.label, self.row, self.lo, self.hi, self.token = (whole(n) for n in ("state", "label", "row", "lo", "hi", "token"))
+        self.next = dict(zip(tables["edge"].tolist(), tables["node"].tolist()))
+        text, cut = tables["text"].tobytes(), tables["cut"].tolist()
+        self.labels = {i: text[cut[i] : cut[i + 1]] for i in range(len(cut) - 1) if cut[i] < cut[i + 1]}
+
+    @classmethod
+    def of(cls, tokens: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> "Automaton":
+        return cls(compiled(tokens, merges))
 
     @classmethod
     def from_json(cls, path: str) -> "Automaton":
@@ -95,7 +176,7 @@ class Automaton:
                 tokens[raw(s)] = i
         made = [(raw(a), raw(b)) for a, b in merges]
         reach = {u + v for u, v in made} | {bytes([b]) for b in range(256)}
-        return cls({t: i for t, i in tokens.items() if t in reach}, made)
+        return cls.of({t: i for t, i in tokens.items() if t in reach}, made)
 
     @classmethod
     def from_ranks(cls, path: str) -> "Automaton":
@@ -118,72 +199,48 @@ class Automaton:
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
             if len(parts) == 2:
                 merges.append((parts[0], parts[1]))
-        return cls(ranks, merges)
+        return cls.of(ranks, merges)
 
     @classmethod
     def load(cls, path: str) -> "Automaton":
         return cls.from_json(path) if path.endswith(".json") else cls.from_ranks(path)
 
-    def arc(self, a: int, b: int) -> bool:
-        """Whether state `a` has an arc labelled `b` after the last gadget.
+    @classmethod
+    def unpacked(cls, block: bytes) -> "Automaton":
+        """From what `packed` gave."""
+        return cls(pickle.loads(block))
 
-        An arc to the younger token was copied from the arc to that token's nearer half, so it stands if that one
-        stood when the copy was made; each step of the loop is one such copy. Equal pairs merge from the left, hence
-        a pair of the same rank counts as gone on the right side only.
-        """
-        key = a << 32 | b
-        known = self.arcs.get(key)
-        if known is not None:
-            return known
-        rank, pair = self.rank, self.pair
-        limit, including, ok = 1 << 60, False, True
-        while True:
-            r = pair.get(a << 32 | b)
-            if r is not None and (r < limit or including and r == limit):
-                ok = False
-                break
-            ra, rb = rank[a], rank[b]
-            if ra < 0 and rb < 0:
-                break
-            if ra > rb:
-                limit, including, a = ra, False, self.right[a]
-            elif rb > ra:
-                limit, including, b = rb, True, self.left[b]
-            else:
-                limit, including, a, b = ra, False, self.right[a], self.left[b]
-        if len(self.arcs) > 2_000_000:  # bounded memory; arcs are compiled anew when needed
-            self.arcs.clear()
-        self.arcs[key] = ok
-        return ok
+    def packed(self) -> bytes:
+        return pickle.dumps(self.tables, protocol=5)
+
+    def arc(self, a: int, b: int) -> bool:
+        """Whether state `a` has an arc labelled `b`: the label isn't in one of the state's gaps."""
+        x, y = self.state[a], self.label[b]
+        begin = self.row[x]
+        i = bisect_right(self.lo, y, begin, self.row[x + 1]) - 1
+        return i < begin or y >= self.hi[i]
 
     def word(self, w: bytes) -> array:
         """Ids of one word."""
-        whole = self.ids.get(w)
-        if whole is not None:
-            return array("i", [whole])
         # Depth first, longest label first: a position has one state, so none is entered twice.
         n = len(w)
         state = [-1] * (n + 1)
         came = [0] * (n + 1)
-        prefix, arc, known = self.prefix.get, self.arc, self.arcs.get
+        step, token, arc = self.next.get, self.token, self.arc
         todo: list[tuple[int, int, int]] = []
         i = 0
         while state[n] < 0:
-            for k in range(i + 1, n + 1):
-                t = prefix(w[i:k])
-                if t is None:
+            node = 0
+            for k in range(i, n):
+                node = step(node << 8 | w[k])
+                if node is None:
                     break
-                if t >= 0 and state[k] < 0:
-                    todo.append((i, k, t))
+                t = token[node]
+                if t >= 0 and state[k + 1] < 0:
+                    todo.append((i, k + 1, t))
             while todo:
                 i, k, t = todo.pop()
-                if state[k] < 0:
-                    if i:
-                        ok = known(state[i] << 32 | t)
-                        if ok is None:
-                            ok = arc(state[i], t)
-                        if not ok:
-                            continue
+                if state[k] < 0 and (not i or arc(state[i], t)):
                     state[k], came[k] = t, i
                     i = k
                     break
@@ -261,9 +318,20 @@ _BLANK_RUN = re.compile(r" (?:\s|$)")
 _LOADED: dict[str, WordTable] = {}
 
 
-def word_table(path: str) -> WordTable:
-    """The table of this Python worker for a vocabulary file; compiled once per worker."""
+def word_table(path: str, block: bytes | None = None) -> WordTable:
+    """The table of this process for a vocabulary file, from the compiled `block` if there is one."""
     t = _LOADED.get(path)
     if t is None:
-        t = _LOADED[path] = WordTable(Automaton.load(path))
+        t = _LOADED[path] = WordTable(Automaton.load(path) if block is None else Automaton.unpacked(block))
     return t
+
+
+def shared_tables(spark, path: str):
+    """`() -> WordTable` for the workers: the vocabulary is compiled here, once, and broadcast (some ten megabytes, whatever the data)."""
+    kept = getattr(spark.sparkContext, "_fleetweave_tables", None)
+    if kept is None:
+        kept = spark.sparkContext._fleetweave_tables = {}
+    if path not in kept:
+        kept[path] = spark.sparkContext.broadcast(word_table(path).automaton.packed())
+    block = kept[path]
+    return lambda: word_table(path, block.value) if path not in _LOADED else _LOADED[path]

@@ -123,20 +123,19 @@ def split_texts(df: DataFrame, key: str, text: str = "text", limit: int = 512, o
     Pieces without their overlap, put together, are the text. Repeated rows are cut again; columns besides `key` and
     `text` are not read. One pass without a shuffle.
     """
+    from fleetweave.llm.automaton import shared_tables
     from fleetweave.llm.tokens import vocabulary
 
     if limit < overlap + 8:
         raise ValueError("limit must be at least 8 tokens over overlap")
-    path = path or vocabulary()
+    tables = shared_tables(df.sparkSession, path or vocabulary())
     names = [key, "piece_no", "tok_start", "tok_end", "char_start", "char_end"] + ["text"] * with_text
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        from fleetweave.llm.automaton import word_table
-
-        table = word_table(path)
+        table = tables()
         labels = table.automaton.labels
         width = np.zeros(max(labels) + 1, dtype=np.int64)
         for i, t in labels.items():

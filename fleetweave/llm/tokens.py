@@ -18,15 +18,15 @@ def encode_column(df: DataFrame, key: str, text: str = "text", path: str | None
     Empty and null texts have the empty list. Repeated rows give repeated rows; columns besides `key` and `text` are
     not read. Texts are encoded whole, whatever their length. No shuffle: one pass over the scan.
     """
-    path = path or vocabulary()
+    from fleetweave.llm.automaton import shared_tables
+
+    tables = shared_tables(df.sparkSession, path or vocabulary())
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        from fleetweave.llm.automaton import word_table
-
-        table = word_table(path)
+        table = tables()
         for b in batches:
             made = [table.encode(t) if t else b"" for t in b.column(1).to_pylist()]
             ends = np.zeros(len(made) + 1, dtype=np.int64)
@@ -43,14 +43,14 @@ def encode_column(df: DataFrame, key: str, text: str = "text", path: str | None
 
 def count_column(df: DataFrame, key: str, text: str = "text", path: str | None = None) -> DataFrame:
     """`(key, n_tokens)` for every row of `df`; 0 for empty and null texts."""
-    path = path or vocabulary()
+    from fleetweave.llm.automaton import shared_tables
+
+    tables = shared_tables(df.sparkSession, path or vocabulary())
 
     def run(batches):
         import pyarrow as pa
 
-        from fleetweave.llm.automaton import word_table
-
-        table = word_table(path)
+        table = tables()
         for b in batches:
             made = [len(table.encode(t)) >> 2 if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.int64())], names=[key, "n_tokens"])
@@ -61,14 +61,14 @@ def count_column(df: DataFrame, key: str, text: str = "text", path: str | None =
 
 def decode_column(df: DataFrame, key: str, ids: str = "ids", path: str | None = None) -> DataFrame:
     """`(key, text)`: the labels of the arcs, put together. Null ids give a null text."""
-    path = path or vocabulary()
+    from fleetweave.llm.automaton import shared_tables
+
+    tables = shared_tables(df.sparkSession, path or vocabulary())
 
     def run(batches):
         import pyarrow as pa
 
-        from fleetweave.llm.automaton import word_table
-
-        decode = word_table(path).automaton.decode
+        decode = tables().automaton.decode
         for b in batches:
             made = [None if x is None else decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=[key, "text"])

@@ -72,6 +72,25 @@ def test_rank_files(file):
         assert mine.encode(t) == enc.encode_ordinary(t)
 
 
+def test_arcs_are_right_encodings():
+    """An arc leads from a token to another exactly if the two stand side by side in the encoding of their text."""
+    enc = tiktoken_encoding("byte_bpe_50k.tiktoken")
+    r = random.Random(3)
+    ids = sorted(A.automaton.labels)
+    label = A.automaton.labels
+    at = {x: i for i, x in label.items()}
+    pairs = [(r.choice(ids), r.choice(ids)) for _ in range(3000)]
+    for w in r.sample(ids, 3000):  # tokens cut in two, and more of the same at either side
+        t = label[w]
+        for k in range(1, len(t)):
+            if t[:k] in at and t[k:] in at:
+                pairs += [(at[t[:k]], at[t[k:]]), (at[t[:k]], w), (w, at[t[k:]]), (w, w)]
+    for a, b in pairs:
+        assert A.automaton.arc(a, b) == (enc._core_bpe.encode_single_piece(label[a] + label[b]) == [a, b]), (label[a], label[b])
+    again = automaton.Automaton.unpacked(A.automaton.packed())
+    assert again.encode("Waiting for approval") == A.automaton.encode("Waiting for approval")
+
+
 def test_special_strings_and_runs():
     enc = tiktoken_encoding("byte_bpe_50k.tiktoken")
     for t in ("<|endoftext|>", "a" * 5000, " " * 999, "ab" * 777, "日本語" * 500, "\n\n \t x", "don't we'll I'm"):
