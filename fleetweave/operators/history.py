@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetweave.operators.ordered import TARGET_ROWS, chunked, neighbour
+from fleetweave.session import discard, staged
 
 #: Texts that stand for "no value" (fixed values), lower case.
 PLACEHOLDERS = ("", "null", "none", "n/a", "na", "nil", "nan", "-", "--", "?", "unknown", "not set", "tbd")
@@ -17,34 +21,80 @@ def cleaned(c: Column) -> Column:
     return F.when(~F.lower(t).isin(*PLACEHOLDERS), t)
 
 
-def versions(changes: DataFrame, keys: list[str], old: str, new: str, at: str, batch: str, target: int = TARGET_ROWS) -> DataFrame:
-    """`(*keys, value, valid_from_us, valid_to_us)`: a row per version begun by a change; `valid_to_us` -1 while it stands.
+def _states(changes: DataFrame, keys: list[str], old: str, new: str, at: str, batch: str, target: int) -> DataFrame:
+    """`(*keys, at, value, hash, ends, first)`: what each attribute is from each instant on (null for no value), rows that
+    change nothing within `changes` left out; `ends` is the next instant, -1 for the last, `first` marks the first.
 
     Of several rows of an attribute at one instant the last batch counts, and of one batch the row with the largest
-    value (a `max_by` with map-side combine, so replays of a long history vanish before the shuffle). A row that
-    reports no change, or the value that already stands, is none; a change to no value ends a version and begins none.
-    As rows that change nothing are dropped, the value that stands before a row is the one of the row before, and a
-    version ends where the next row begins: both look one row away, which `chunked` serves for histories of any
-    length. The value is compared by its hash and, where hashes agree, by itself. Rows with a null instant are left
-    out; null keys are a key of their own; an empty table gives an empty table.
+    value (a `max_by` with map-side combine, so replays of a long history vanish before the shuffle). The value that
+    stands before a row is the one of the row before, and a state ends where the next one begins: both look one row
+    away, which `chunked` serves for histories of any length.
     """
     o, n = cleaned(F.col(old)), cleaned(F.col(new))
-    row = F.struct(o.alias("o"), n.alias("n"))
     us = F.unix_micros(F.col(at).cast("timestamp")).alias("at")
     rows = changes.where(F.col(at).isNotNull()).select(*keys, us, F.col(batch).alias("b"), o.alias("o"), n.alias("n"))
-    row = F.struct("o", "n")
-    last = rows.groupBy(*keys, "at").agg(F.max_by(row, F.struct("b", "n", "o")).alias("r")).select(*keys, "at", "r.o", "r.n")
+    last = rows.groupBy(*keys, "at").agg(F.max_by(F.struct("o", "n"), F.struct("b", "n", "o")).alias("r")).select(*keys, "at", "r.o", "r.n")
     said = last.where(~F.col("o").eqNullSafe(F.col("n"))).select(*keys, "at", F.col("n").alias("value"), F.xxhash64("n").alias("hash"))
     a = chunked(said, keys, "at", [], 1, target, sizes_of=changes)
     order = [F.col("at")]
-    first = neighbour(a, order, F.lit(1), 1).isNull()
+    first = neighbour(a, order, F.lit(True), 1).isNull()
     before, hash_before = neighbour(a, order, F.col("value"), 1), neighbour(a, order, F.col("hash"), 1)
-    same = F.when(first, F.col("value").isNull()).otherwise((F.col("hash") == hash_before) & F.col("value").eqNullSafe(before))
-    moved = a.only_own(a.df.withColumn("_same", same)).where("not _same").drop("_same", "hash")
+    same = ~first & (F.col("hash") == hash_before) & F.col("value").eqNullSafe(before)
+    moved = a.only_own(a.df.withColumn("_same", same).withColumn("first", first)).where("not _same").drop("_same")
     # the ends: without a cut this window has the partitioning and order of the one above, so nothing is moved again
     b = chunked(moved, keys, "at", [], 1, target) if a.cut else type(a)(moved, keys, False)
-    ended = b.only_own(b.df.withColumn("valid_to_us", F.coalesce(neighbour(b, order, F.col("at"), -1), F.lit(-1))))
-    return ended.where("value is not null").select(*keys, "value", F.col("at").alias("valid_from_us"), "valid_to_us")
+    return b.only_own(b.df.withColumn("ends", F.coalesce(neighbour(b, order, F.col("at"), -1), F.lit(-1))))
+
+
+def merge_changes(dimension: DataFrame, changes: DataFrame, keys: list[str], old: str, new: str, at: str, batch: str, target: int = TARGET_ROWS) -> DataFrame:
+    """A type-two dimension `(*keys, value, hash, valid_from_us, valid_to_us)` brought up to `changes`, none of them earlier
+    than a version in it.
+
+    The first state of each attribute in `changes` is compared, by hash and, where hashes agree, by value, with the version
+    that is open: if equal, that version goes on to where this state ends, else it is closed where it begins. States with a
+    value that isn't the open one's become versions, the last of them open. Closed versions, and the states after the first,
+    pass without being joined, so the join has a row per attribute at either side, however long its history.
+    """
+    states = staged(_states(changes, keys, old, new, at, batch, target), "p7-states")
+    shape = [*keys, "value", "hash", "valid_from_us", "valid_to_us"]
+    closed = dimension.where("valid_to_us <> -1").select(shape)
+    open_ = dimension.where("valid_to_us = -1").select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.lit(True).alias("stands"), F.col("value").alias("v0"), F.col("hash").alias("h0"), F.col("valid_from_us").alias("from0"))
+    head = states.where("first").select("*", F.lit(True).alias("there"))
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"k{i}")) for i, k in enumerate(keys)])
+    both = head.join(open_, on, "full_outer")
+    either = [F.when(F.col("there"), F.col(k)).otherwise(F.col(f"k{i}")).alias(k) for i, k in enumerate(keys)]
+    goes_on = F.coalesce(F.col("stands") & F.col("there") & (F.col("hash") == F.col("h0")) & F.col("value").eqNullSafe(F.col("v0")), F.lit(False))
+    before = F.when(F.col("stands"), F.struct(F.col("v0").alias("value"), F.col("h0").alias("hash"), F.col("from0").alias("valid_from_us"), F.when(goes_on, F.col("ends")).when(F.col("there"), F.col("at")).otherwise(F.lit(-1)).alias("valid_to_us")))
+    begun = F.when(F.col("there") & F.col("value").isNotNull() & ~goes_on, F.struct("value", "hash", F.col("at").alias("valid_from_us"), F.col("ends").alias("valid_to_us")))
+    merged = both.select(*either, F.explode(F.array_compact(F.array(before, begun))).alias("v")).select(*keys, "v.*")
+    later = states.where("not first and value is not null").select(*keys, "value", "hash", F.col("at").alias("valid_from_us"), F.col("ends").alias("valid_to_us"))
+    return closed.unionByName(merged).unionByName(later)
+
+
+def versions(changes: DataFrame, keys: list[str], old: str, new: str, at: str, batch: str, target: int = TARGET_ROWS, periods: int = 2) -> DataFrame:
+    """`(*keys, value, valid_from_us, valid_to_us)`: a row per version begun by a change; `valid_to_us` -1 while it stands.
+
+    The changes are merged into an empty dimension in `periods` of about as many rows each, the earliest first, as updates
+    that come in would be (`merge_changes`); the result doesn't depend on where they are cut. A row that reports no change,
+    or the value that already stands, is none; a change to no value ends a version and begins none. Rows with a null
+    instant are left out; null keys are a key of their own; an empty table gives an empty table.
+    """
+    spark = changes.sparkSession
+    keyed = changes.select(*keys, old, new, at, batch)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    cuts = changes.select(micros.alias("t")).agg(F.percentile_approx("t", F.array(*(F.lit((i + 1) / periods) for i in range(periods - 1))), 1000)).first()[0] if periods > 1 else []
+    cuts = sorted(set(cuts or []))
+    kinds = [changes.schema[k] for k in keys]
+    empty = T.StructType([*kinds, T.StructField("value", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("hash", "valid_from_us", "valid_to_us"))])
+    dimension = spark.createDataFrame([], empty)
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        mine = F.lit(True) if lo is None else micros > lo
+        before = dimension
+        dimension = merge_changes(dimension, keyed.where(mine if hi is None else mine & (micros <= hi)), keys, old, new, at, batch, target)
+        if hi is not None:  # the dimension is a table between two updates
+            dimension = staged(dimension, "p7-dimension")
+            discard(before)
+    return dimension.select(*keys, "value", "valid_from_us", "valid_to_us")
 
 
 def changes_of_snapshots(before: DataFrame, after: DataFrame, keys: list[str], fields: list[str], at: Column, batch: Column) -> DataFrame:

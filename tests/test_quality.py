@@ -160,6 +160,7 @@ def versions(spark, rows, **kw):
 def test_versions(spark):
     rows = random_changes(800, 9, 1)
     assert versions(spark, rows + rows[:50]) == brute_versions(rows)
+    assert versions(spark, rows, periods=3) == brute_versions(rows)
     assert versions(spark, []) == set()
 
 
