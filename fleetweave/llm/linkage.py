@@ -140,15 +140,18 @@ def candidates(index: DataFrame, share: float = SHARE) -> DataFrame:
     """`(a, b, score, pattern, scale, ra, rb)` of class pairs `a < b` whose BM25 score reaches `share` of that of one part two records share."""
     least = F.col("scale") * share
     rest = lambda i: F.aggregate(F.slice("open", i + 1, F.size("open")), F.lit(0.0), lambda s, x: s + x["idf"])
-    front = F.filter(F.transform("open", lambda x, i: F.struct(x["part"].alias("part"), x["classes"].alias("classes"), rest(i).alias("rest"))), lambda x: x["rest"] >= least)
-    keys = index.withColumn("open", F.filter("parts", lambda x: x["open"])).select("c", *_ATTRIBUTES, "reps", "scale", "open", F.explode(front).alias("f"))
+    front = F.filter(F.transform("open", lambda x, i: F.struct(F.get("ids", i).alias("id"), x["classes"].alias("classes"), rest(i).alias("rest"))), lambda x: x["rest"] >= least)
+    listed = index.withColumn("open", F.filter("parts", lambda x: x["open"])).withColumn("ids", F.transform("open", lambda x: F.xxhash64(x["part"])))
+    keys = listed.select("c", *_ATTRIBUTES, "reps", "scale", "open", "ids", F.explode(front).alias("f"))
     tasks = F.greatest(F.lit(1), F.ceil(F.col("f.classes") / HOT)).cast("int")
-    l = keys.select(F.struct(*keys.columns[:-1]).alias("l"), F.col("f.part").alias("part"), F.pmod(F.xxhash64("c"), tasks).cast("int").alias("salt"))
-    r = keys.select(F.struct(*keys.columns[:-1]).alias("r"), F.col("f.part").alias("part"), F.explode(F.sequence(F.lit(0), tasks - 1)).alias("salt"))
+    l = keys.select(F.struct(*keys.columns[:-1]).alias("l"), F.col("f.id").alias("id"), F.pmod(F.xxhash64("c"), tasks).cast("int").alias("salt"))
+    r = keys.select(F.struct(*keys.columns[:-1]).alias("r"), F.col("f.id").alias("id"), F.explode(F.sequence(F.lit(0), tasks - 1)).alias("salt"))
+    # the first part in common, by its hash, decides before anything dearer is worked out
+    both = l.join(r, ["id", "salt"]).where((F.col("l.c") < F.col("r.c")) & (F.get(F.array_intersect("l.ids", "r.ids"), F.lit(0)) == F.col("id")))
     shared = F.array_intersect("l.open", "r.open")
-    both = l.join(r, ["part", "salt"]).where("l.c < r.c").select("l", "r", "part", shared.alias("shared")).where(F.get("shared", F.lit(0))["part"] == F.col("part"))
-    out = both.select(F.col("l.c").alias("a"), F.col("r.c").alias("b"), _sum(F.col("shared")).alias("score"), _pattern(F.col("shared"), F.col("l.scale") * share), F.col("l.scale").alias("scale"), F.col("l.reps").alias("ra"), F.col("r.reps").alias("rb"))
-    return out.where(F.col("score") >= F.col("scale") * share)
+    out = both.select(F.col("l.c").alias("a"), F.col("r.c").alias("b"), shared.alias("shared"), "l", "r").select("a", "b", "l", "r", "shared", _sum(F.col("shared")).alias("score"))
+    out = out.where(F.col("score") >= F.col("l.scale") * share)
+    return out.select("a", "b", "score", _pattern(F.col("shared"), F.col("l.scale") * share), F.col("l.scale").alias("scale"), F.col("l.reps").alias("ra"), F.col("r.reps").alias("rb"))
 
 
 def pairs(index: DataFrame, share: float = SHARE) -> DataFrame:
