@@ -10,9 +10,8 @@ from fleetweave.functions import text
 
 
 def canonical_json(c: Column) -> Column:
-    """JSON with the members of its root in order of name, so that equal content has an equal hash; as it is if it isn't an object."""
-    flat = F.from_json(c, "map<string,string>")
-    return F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(flat)))), c)
+    """JSON with the members of all objects in order of name, so that equal content has an equal hash; a text that isn't JSON as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(c)), c)
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -262,8 +262,12 @@ def training_pairs(records: DataFrame, keys: dict[str, Column]) -> DataFrame:
     return reduce(DataFrame.unionByName, out).distinct()
 
 
-def negative_pairs(records: DataFrame, positives: DataFrame, buckets: int = 1000, seed: int = 42) -> DataFrame:
-    """Pairs of different sources that aren't positive, about two per positive, drawn by hash."""
+def negative_pairs(records: DataFrame, positives: DataFrame, per_bucket: int = 16, seed: int = 42) -> DataFrame:
+    """Pairs of different sources that aren't positive, about two per positive, drawn by hash.
+
+    Records meet in buckets of about `per_bucket`, however many records there are, so the pairs grow in proportion to them.
+    """
+    buckets = max(1, records.count() // per_bucket)
     b = F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(buckets))
     rows = records.select("uid", "source", b.alias("b"))
     l, r = rows.select("b", F.col("uid").alias("uid_l"), F.col("source").alias("source_l")), rows.select("b", F.col("uid").alias("uid_r"), F.col("source").alias("source_r"))

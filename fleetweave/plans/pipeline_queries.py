@@ -13,13 +13,10 @@ from fleetweave.sources.tables import table
 
 
 def silver(s, d, extra: bool = True, feeds: dict = default.FEEDS):
-    """Records of all anchor feeds: the raw store of each source, extracted by its spec and normalised."""
+    """Records of all anchor feeds from one scan: each raw text extracted by the spec of its source and normalised."""
     raw = table(s, d, "raw_store").select("source", "raw_json")
-    parts = []
-    for key, source in default.FEED_SOURCES.items():
-        mine = manifest.walk(raw.where(F.col("source") == source), feeds[key])
-        parts.append(manifest.normalized(mine if extra else mine.drop("extra_attributes"), source, default.FIELDS))
-    return manifest.union_of(parts)
+    mine = {source: feeds[key] for key, source in default.FEED_SOURCES.items()}
+    return manifest.normalized(manifest.walk_all(raw.where(F.col("source").isin(*mine)), mine, extra=extra), F.col("source"), default.FIELDS)
 
 
 def _silver_sql(columns: tuple[str, ...]) -> str:

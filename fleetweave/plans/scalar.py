@@ -39,20 +39,21 @@ def serial_sql(c: str) -> str:
 
 def family_sql(c: str) -> str:
     low = f"lower({strip_sql(c)})"
-    arms = " ".join("when " + " or ".join(f"contains({low}, '{m}')" for m in marks) + f" then '{f}'" for f, marks in text.OS_FAMILIES)
-    return f"(case when {low} = '' then '' {arms} else {low} end)"
+    return f"""(case when {low} = '' then '' when contains({low}, 'windows') or contains({low}, 'microsoft windows') then 'windows'
+      when contains({low}, 'macos') or contains({low}, 'mac os') or contains({low}, 'os x') or contains({low}, 'darwin') then 'macos'
+      when contains({low}, 'ios') or contains({low}, 'ipados') then 'ios' when contains({low}, 'android') then 'android'
+      when regexp_matches({low}, 'ubuntu|debian|centos|rhel|red hat|fedora|suse|linux') then 'linux' else {low} end)"""
 
 
 def class_sql(c: str) -> str:
     v = trim_sql(f"coalesce({c}, '')")
-    octet = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
-    return rf"""(case when {v} in ({_SENTINELS}) then 'none'
-      when regexp_full_match({v}, '([0-9A-Fa-f]{{2}}[:-]){{5}}[0-9A-Fa-f]{{2}}') then 'mac_address'
-      when regexp_full_match({v}, '({octet}\.){{3}}{octet}') then 'ip_address'
+    return rf"""(case when {v} = '' or {c} in ({_SENTINELS}) then 'none'
+      when regexp_full_match({v}, '([0-9A-Fa-f]{{2}}[:.\s\-]){{5}}[0-9A-Fa-f]{{2}}') then 'mac_address'
+      when regexp_full_match({v}, '\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}') then 'ip_address'
       when regexp_full_match({v}, '\d{{15}}') then 'imei'
       when regexp_full_match({v}, '[^@\s]+@[^@\s]+\.[^@\s]+') then 'email'
       when regexp_full_match({v}, '[A-Za-z0-9]{{6,20}}') and regexp_matches({v}, '[A-Za-z]') and regexp_matches({v}, '\d') then 'serial_number'
-      when regexp_full_match({v}, '[A-Za-z][A-Za-z0-9\-]{{2,}}(\.[A-Za-z0-9\-]+)*') then 'hostname' else 'none' end)"""
+      when regexp_full_match({v}, '[a-zA-Z0-9][a-zA-Z0-9\-]{{1,14}}[a-zA-Z0-9]') then 'hostname' else 'none' end)"""
 
 
 def tokens_sql(c: str) -> str:

@@ -159,11 +159,17 @@ def field_value(raw: Column, spec: FieldSpec) -> Column:
     return text.TRANSFORMS[spec.transform](value) if spec.transform else value
 
 
+def _mapped(spec: dict, drop: tuple[str, ...]) -> Column:
+    return F.array(*map(F.lit, sorted({p.lower() for x in spec.values() for p in as_spec(x).paths} | set(drop))))
+
+
 def extra_attributes(raw: Column, spec: dict, drop: tuple[str, ...] = ("id", "source_id")) -> Column:
     """JSON of what the record has besides the mapped paths (compared without case); `''` if nothing is left."""
-    mapped = sorted({p.lower() for x in spec.values() for p in as_spec(x).paths} | set(drop))
-    taken = F.array(*map(F.lit, mapped))
-    left = F.map_filter(flat_fields(raw), lambda k, v: ~F.array_contains(taken, F.lower(k)) & (text.strip_sentinels(v) != ""))
+    return _left(flat_fields(raw), _mapped(spec, drop))
+
+
+def _left(flat: Column, taken: Column) -> Column:
+    left = F.map_filter(flat, lambda k, v: ~F.array_contains(taken, F.lower(k)) & (text.strip_sentinels(v) != ""))
     return F.when(F.size(F.map_keys(left)) > 0, F.to_json(left)).otherwise(F.lit(""))
 
 
@@ -175,13 +181,45 @@ def walk(raw: DataFrame, feed: Feed, column: str = "raw_json") -> DataFrame:
     return base.select(at_path(F.col("_raw"), feed.id_path).alias("source_id"), *cols, extra_attributes(F.col("_raw"), feed.spec).alias("extra_attributes"))
 
 
-def normalized(records: DataFrame, source: str, fields: tuple[str, ...]) -> DataFrame:
+def walk_all(raw: DataFrame, feeds: dict[str, Feed], column: str = "raw_json", source: str = "source", extra: bool = True) -> DataFrame:
+    """`walk` for a store of several sources in one scan: `source` and every field of any spec, by the spec of the row's source.
+
+    A field that a source's feed doesn't have is `''`. Each path is read for the rows of its own sources only.
+    """
+    doc = F.when(F.try_parse_json(column).isNotNull(), F.col(column)).otherwise(F.lit("{}"))
+    base = raw.select(F.col(source).alias("source"), doc.alias("_raw"))
+    names = list(dict.fromkeys(n for f in feeds.values() for n in f.spec if n != "source_id"))
+
+    def by_source(make) -> Column:
+        same: dict = {}
+        for s, f in feeds.items():
+            k, c = make(f)
+            same.setdefault(k, ([], c))[0].append(s)
+        arms = [(F.col("source").isin(*ss), c) for ss, c in same.values() if c is not None]
+        return reduce(lambda w, a: w.when(*a), arms[1:], F.when(*arms[0])).otherwise(F.lit(""))
+
+    def field_of(n: str):
+        return lambda f: (as_spec(f.spec[n]), field_value(F.col("_raw"), as_spec(f.spec[n]))) if n in f.spec else (None, None)
+
+    cols = [by_source(field_of(n)).alias(n) for n in names]
+    sid = by_source(lambda f: (f.id_path, at_path(F.col("_raw"), f.id_path))).alias("source_id")
+    if not extra:
+        return base.select("source", sid, *cols)
+    taken = None
+    for s, f in feeds.items():
+        mapped = _mapped(f.spec, ("id", "source_id"))
+        taken = F.when(F.col("source") == s, mapped) if taken is None else taken.when(F.col("source") == s, mapped)
+    flat = base.withColumn("_flat", flat_fields(F.col("_raw")))
+    return flat.select("source", sid, *cols, _left(F.col("_flat"), taken).alias("extra_attributes"))
+
+
+def normalized(records: DataFrame, source: str | Column, fields: tuple[str, ...]) -> DataFrame:
     """Profile records: derived columns, lower-case manufacturer, blanks for missing fields and sentinels."""
     have = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in records.columns}
     get = lambda c: text.strip_sentinels(have[c]) if c in have else F.lit("")
     name, mac, serial = text.normalize_name(get("name")), text.normalize_mac(get("mac_address")), text.normalize_serial(get("serial_number"))
     made = {
-        "source": F.lit(source), "name_clean": name, "mac_clean": mac, "serial_number": serial, "os_family": text.os_family(get("os")), "manufacturer": F.lower(get("manufacturer")),
+        "source": F.lit(source) if isinstance(source, str) else source, "name_clean": name, "mac_clean": mac, "serial_number": serial, "os_family": text.os_family(get("os")), "manufacturer": F.lower(get("manufacturer")),
         "name_fallback": F.when((serial == "") & (mac == ""), name).otherwise(F.lit("")),
     }
     return records.select(*(made.get(c, get(c)).alias(c) for c in fields))

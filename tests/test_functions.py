@@ -32,6 +32,18 @@ def test_classes(one):
     assert one(text.classify, *given) == ["mac_address", "ip_address", "imei", "email", "serial_number", "none", "none", "none", "hostname"]
 
 
+def test_families_and_classes_of_the_fixed_lists(one):
+    assert one(text.os_family, "RHEL 9", "iPadOS 17", "win32", "iPhone") == ["linux", "ios", "win32", "iphone"]
+    given = ["a1-b.example.org", "999.1.1.1", "7host-a", "AA.BB.CC.DD.EE.FF", "a-very-long-host-name", "ab", "null"]
+    assert one(text.classify, *given) == ["none", "ip_address", "hostname", "mac_address", "none", "none", "none"]
+
+
+def test_human_texts(spark):
+    df = spark.createDataFrame([(12,), (1536,), (5 * 1024**2,), (4 * 1024**3,), (0,)], "n long")
+    assert [r.x for r in df.select(text.human_bytes(F.col("n")).alias("x")).collect()] == ["12 B", "1.5 KB", "5.0 MB", "4.00 GB", "0 B"]
+    assert [r.x for r in df.select(text.human_duration(F.col("n")).alias("x")).collect()][:2] == ["12ms", "1.5s"]
+
+
 def test_tokens(one):
     assert one(text.tokens, "Bob's ws-28.corp x laptop1 ab12", None) == [["ws-28", "laptop1", "ab12"], []]
 

@@ -55,6 +55,13 @@ def test_raw_store(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
+def test_canonical_hash(one):
+    from fleetweave.operators.capture import canonical_json
+
+    a, b, c, d = one(canonical_json, '{"a":{"y":[{"q":1,"p":2}],"x":1},"b":2}', '{"b":2, "a":{"x":1,"y":[{"p":2,"q":1}]}}', "{broken", '{"a":{"x":2}}')
+    assert a == b and json.loads(a) == {"a": {"x": 1, "y": [{"p": 2, "q": 1}]}, "b": 2} and c == "{broken" and d != a
+
+
 def test_csv_and_generator(spark, tmp_path):
     made = connectors.generated(spark, 200)
     assert made.select("cluster_id").distinct().count() == 200 and made.count() > 300
