@@ -24,6 +24,24 @@ def in_networks(points: DataFrame, address: str, networks: DataFrame, cidr: str)
     return p.join(nets, ["_s", "_b"]).where("_ip between _lo and _hi").drop("_ip", "_lo", "_hi", "_n", "_s", "_b")
 
 
+def in_ranges(points: DataFrame, address: str, ranges: DataFrame, first: str, last: str) -> DataFrame:
+    """`points` joined with the `ranges` (two addresses of one version, both included) that hold their address, IPv4 or IPv6.
+
+    All addresses of a range begin with the digits its ends have in common, so points meet ranges on those digits: an
+    equi-join with a check of the bounds. There are at most 33 lengths of common digits, whatever the number of ranges.
+    """
+    lo, hi = F.hex(net.address_bytes(F.col(first))), F.hex(net.address_bytes(F.col(last)))
+    r = ranges.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo is not null and _hi is not null and _lo <= _hi")
+    four = lambda c: F.substring(c, 1, 24) == "0" * 20 + "FFFF"
+    r = r.where(four("_lo") == four("_hi"))
+    n = F.reduce(F.sequence(F.lit(1), F.lit(32)), F.lit(0), lambda k, i: F.when((k == i - 1) & (F.substring(F.col("_lo"), i, F.lit(1)) == F.substring(F.col("_hi"), i, F.lit(1))), i).otherwise(k))
+    r = r.withColumn("_n", n).withColumn("_k", F.substring(F.col("_lo"), F.lit(1), F.col("_n")))
+    lengths = [x[0] for x in r.select("_n").distinct().collect()]
+    p = points.withColumn("_ip", F.hex(net.address_bytes(F.col(address)))).where("_ip is not null")
+    p = p.withColumn("_n", F.explode(F.array(*(F.lit(k) for k in lengths)) if lengths else F.array().cast("array<int>"))).withColumn("_k", F.substring(F.col("_ip"), F.lit(1), F.col("_n")))
+    return p.join(r, ["_n", "_k"]).where("_ip between _lo and _hi").drop("_n", "_k", "_ip", "_lo", "_hi")
+
+
 def shared_users(devices: DataFrame, most: int = 50) -> DataFrame:
     """Edges `(source, target, type, label)` between clusters of one user, `source < target`.
 

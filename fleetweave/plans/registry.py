@@ -34,3 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     from fleetweave.plans import data_quality, feed_queries, linking_queries, mart_queries, pipeline_queries, scalar  # noqa: F401
+    from fleetweave.plans import device_queries  # noqa: F401

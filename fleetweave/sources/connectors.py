@@ -1,14 +1,16 @@
 """Reading from HTTP services as Spark data sources, with the page range or cursor as partitions; and sinks.
 
 Each reader asks for JSON over HTTP (or takes `file://` pages, as tests do) and yields one text per record, so that
-whatever a service adds to its records is kept. Errors end a feed with what arrived so far, as an empty result must
-never wipe what is stored (`replace_if_any`).
+whatever a service adds to its records is kept. By default an error ends a feed with what arrived so far; with the option
+`strict` it fails the read, so that half a feed never takes a table's place (`replace_if_any`, `ingest`).
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import urllib.request
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 WRAPPERS = ("devices", "response", "data", "results", "items", "value", "result")
 
 
-def fetch(url: str, headers: dict | None = None, body: dict | None = None, timeout: float = 30.0):
-    """The JSON at `url`, None for no content and errors of the network."""
+def fetch(url: str, headers: dict | None = None, body: dict | None = None, timeout: float = 30.0, strict: bool = False):
+    """The JSON at `url`, None for no content and, unless `strict`, for errors of the network."""
     data = json.dumps(body).encode() if body is not None else None
     ask = urllib.request.Request(url, data=data, headers={"Content-Type": "application/json", **(headers or {})})
     try:
@@ -27,6 +29,8 @@ def fetch(url: str, headers: dict | None = None, body: dict | None = None, timeo
             raw = r.read()
         return json.loads(raw) if raw else None
     except (OSError, ValueError):
+        if strict:
+            raise
         return None
 
 
@@ -68,6 +72,9 @@ class _Reader(DataSourceReader):
     def pages(self, partition):
         raise NotImplementedError
 
+    def get(self, url: str, body: dict | None = None):
+        return fetch(url, _headers(self.o), body, strict=str(self.o.get("strict", "")).lower() == "true")
+
 
 class _Source(DataSource):
     reader_class: type = _Reader
@@ -81,7 +88,7 @@ class _Source(DataSource):
 
 class RestReader(_Reader):
     def pages(self, partition):
-        return records_of(fetch(self.o["url"], _headers(self.o)), self.o.get("response_path"))
+        return records_of(self.get(self.o["url"]), self.o.get("response_path"))
 
 
 class RestJson(_Source):
@@ -103,7 +110,7 @@ class PagedReader(_Reader):
 
     def pages(self, partition):
         page = partition.first
-        while rows := records_of(fetch(self.o["url"].replace("{page}", str(page)), _headers(self.o)), self.o.get("response_path")):
+        while rows := records_of(self.get(self.o["url"].replace("{page}", str(page))), self.o.get("response_path")):
             yield from rows
             page += partition.step
 
@@ -123,7 +130,7 @@ class LinkedReader(_Reader):
         url, seen = self.o["url"], set()
         while url and url not in seen:
             seen.add(url)
-            answer = fetch(url, _headers(self.o))
+            answer = self.get(url)
             yield from records_of(answer, self.o.get("response_path"))
             url = (answer.get("paging") or {}).get("next") if isinstance(answer, dict) else None
 
@@ -139,7 +146,7 @@ class LinkedJson(_Source):
 class RpcReader(_Reader):
     def pages(self, partition):
         body = {"jsonrpc": "2.0", "id": 1, "method": self.o["method"], "params": json.loads(self.o.get("params", "{}"))}
-        return records_of(fetch(self.o["url"], _headers(self.o), body), "result")
+        return records_of(self.get(self.o["url"], body), "result")
 
 
 class JsonRpc(_Source):
@@ -156,7 +163,7 @@ class CursorReader(_Reader):
     def pages(self, partition):
         start, rows = int(self.o.get("first", 1)), int(self.o.get("row_count", 100))
         while True:
-            answer = fetch(self.o["url"].replace("{start}", str(start)).replace("{rows}", str(rows)), _headers(self.o))
+            answer = self.get(self.o["url"].replace("{start}", str(start)).replace("{rows}", str(rows)))
             got = records_of(answer, self.o.get("response_path"))
             yield from got
             info = (answer or {}).get("list_info", {}) if isinstance(answer, dict) else {}
@@ -207,12 +214,96 @@ def raw_store(raw: DataFrame, id_path: str, at) -> DataFrame:
     return last_wins(rows, ["source_id"], ["seq"]).drop("seq")
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def replace_if_any(rows: DataFrame, path: str) -> bool:
-    """Overwrite a table unless the new rows are none; whether it was written."""
-    if rows.isEmpty():
-        return False
-    rows.write.mode("overwrite").parquet(path)
-    return True
+    """Put new rows in a table's place unless there are none; whether it was done.
+
+    They are written beside the table first. If reading or writing them fails, the table stays as it was.
+    """
+    spark = rows.sparkSession
+    fresh, aside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    new, fs = _fs(spark, fresh)
+    try:
+        rows.write.parquet(fresh)
+        if spark.read.schema(rows.schema).parquet(fresh).isEmpty():
+            return False
+        here, old = _fs(spark, path)[0], _fs(spark, aside)[0]
+        if fs.exists(here):
+            fs.rename(here, old)
+        fs.rename(new, here)
+        fs.delete(old, True)
+        return True
+    finally:
+        fs.delete(new, True)
+
+
+def ensure_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at `path`, made empty with `schema` (DDL) if it isn't there; what is there isn't touched."""
+    here, fs = _fs(spark, path)
+    if not fs.exists(here):
+        spark.createDataFrame([], schema).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def ingest(spark: SparkSession, feeds: dict, root: str) -> dict[str, int]:
+    """Read each feed (`name: () -> DataFrame`) into `root/name`; rows by feed, 0 for none, -1 for a feed that failed.
+
+    A feed that fails or brings nothing leaves its table and the other feeds alone.
+    """
+    out = {}
+    for name, read in feeds.items():
+        try:
+            out[name] = spark.read.parquet(f"{root}/{name}").count() if replace_if_any(read(), f"{root}/{name}") else 0
+        except Exception as error:  # noqa: BLE001 - whatever goes wrong in a feed stays in it
+            logging.getLogger(__name__).warning("feed %s failed: %s", name, error)
+            out[name] = -1
+    return out
+
+
+def typed(raw: DataFrame, columns: dict[str, str], constants: dict[str, str] | None = None) -> DataFrame:
+    """A table of texts from `raw_json`: `columns` maps a name to a dotted path; objects and lists stay JSON, missing ones are `''`."""
+    from fleetweave.sources.manifest import json_path
+
+    read = [F.coalesce(F.get_json_object("raw_json", json_path(p)), F.lit("")).alias(n) for n, p in columns.items()]
+    return raw.select(*read, *(F.lit(v).alias(n) for n, v in (constants or {}).items()), "raw_json")
+
+
+def write_state(spark: SparkSession, path: str, state: dict) -> None:
+    """A small JSON file (a registry, a status), replaced as a whole."""
+    new, fs = _fs(spark, f"{path}.new")
+    out = fs.create(new, True)
+    out.write(bytearray(json.dumps(state, sort_keys=True, ensure_ascii=False).encode("utf-8")))
+    out.close()
+    here = _fs(spark, path)[0]
+    fs.delete(here, False)
+    fs.rename(new, here)
+
+
+def read_state(spark: SparkSession, path: str) -> dict:
+    """What `write_state` wrote, `{}` without a file."""
+    here, fs = _fs(spark, path)
+    return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())) if fs.exists(here) else {}
+
+
+def backup(spark: SparkSession, tables: dict[str, str], root: str, stamp: str) -> dict:
+    """Copies of Parquet tables under `root/stamp`, and a manifest of their rows beside them; the manifest is written last."""
+    rows = {}
+    for name, path in tables.items():
+        target = f"{root}/{stamp}/{name}"
+        spark.read.parquet(path).write.mode("overwrite").parquet(target)
+        rows[name] = spark.read.parquet(target).count()
+    manifest = {"stamp": stamp, "tables": rows}
+    write_state(spark, f"{root}/{stamp}/manifest.json", manifest)
+    return manifest
+
+
+def write_clusters(labels: DataFrame, path: str) -> None:
+    """`(unique_id, cluster_id)` of every record as CSV with a header."""
+    labels.select("unique_id", "cluster_id").write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:

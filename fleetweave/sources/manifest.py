@@ -54,7 +54,7 @@ class Feed:
 @dataclass(frozen=True)
 class System:
     strategy: str
-    schedule_s: int
+    schedule_s: int = 3600
     coverage: float = 0.0
 
 

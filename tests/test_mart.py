@@ -1,4 +1,4 @@
-"""The seeded mesh of seven records and four devices, and its expectations."""
+"""A mesh of seven records and four devices, and what follows from it."""
 
 import datetime as D
 
@@ -18,13 +18,13 @@ def rec(c, s, i, name="", serial="", mac="", maker="", os_="", user="", ip="", i
 @pytest.fixture(scope="module")
 def mesh(spark):
     rows = [
-        rec("c1", "sp", "sp_42", "WS28", "SN001", "aa:bb:cc:dd:ee:ff", "Dell", "Windows 10", "jdoe", "192.168.1.100", extra='{"fields.Cost": "12", "a": ""}'),
-        rec("c1", "me", "me_101", "WS28", "SN001", "aa:bb:cc:dd:ee:ff", "Dell", "Windows 11", "jdoe"),
-        rec("c1", "fg", "fg_7", "ws28", os_="Windows 10", ip="192.168.1.100", extra="{broken"),
-        rec("c2", "ad", "ad_12", "DC01", "SN002", "11:22:33:44:55:66", os_="Server 2022", ip="10.0.0.1", at=D.datetime(2024, 1, 1)),
-        rec("c2", "zbx", "zbx_3", "dc01", "SN009", ip="10.0.0.1", at=D.datetime(2024, 1, 1)),
-        rec("c3", "sp", "sp_99"),
-        rec("c4", "me_mdm", "mdm_55", "phone01", "SN001", maker="Apple", os_="iOS 17", user="jsmith", imei="356789012345678"),
+        rec("c1", "sp", "sp_k7", "LAP31", "QX7781", "3c:52:a1:0e:9b:44", "Dell", "Windows 10", "tmarsh", "172.20.6.31", extra='{"fields.Cost": "12", "a": ""}'),
+        rec("c1", "me", "me_q3", "LAP31", "QX7781", "3c:52:a1:0e:9b:44", "Dell", "Windows 11", "tmarsh"),
+        rec("c1", "fg", "fg_z1", "lap31", os_="Windows 10", ip="172.20.6.31", extra="{broken"),
+        rec("c2", "ad", "ad_t5", "SRV77", "QX7782", "f0:9e:4a:27:d1:08", os_="Server 2022", ip="10.0.0.1", at=D.datetime(2024, 1, 1)),
+        rec("c2", "zbx", "zbx_h8", "srv77", "QX7789", ip="10.0.0.1", at=D.datetime(2024, 1, 1)),
+        rec("c3", "sp", "sp_m2"),
+        rec("c4", "me_mdm", "mdm_p9", "slate04", "QX7781", maker="Apple", os_="iOS 17", user="kvolt", imei="490154203237518"),
     ]
     return spark.createDataFrame(rows, ", ".join(f"{c} {'timestamp_ntz' if c == 'fetched_at' else 'string'}" for c in COLS))
 
@@ -36,15 +36,15 @@ def by(df, *keys):
 def test_devices(mesh):
     d = by(mart.consolidated(mesh), "cluster_id")
     assert len(d) == 4 and d["c1"].sources == ["fg", "me", "sp"] and d["c1"].source_count == 3 and d["c1"].record_count == 3
-    assert d["c1"].os == "Windows 11" and d["c3"].device_name == "(unnamed)" and d["c2"].device_name == "dc01" and d["c2"].os == "Server 2022"
-    assert d["c4"].serial_number == "SN001" and d["c3"].serial_number == ""
+    assert d["c1"].os == "Windows 11" and d["c3"].device_name == "(unnamed)" and d["c2"].device_name == "srv77" and d["c2"].os == "Server 2022"
+    assert d["c4"].serial_number == "QX7781" and d["c3"].serial_number == ""
 
 
 def test_truth_and_drift(spark, mesh):
     systems = spark.createDataFrame([("sp", 0.55), ("me_mdm", 0.8), ("fg", 0.3), ("ad", 0.6), ("zbx", 0.4)], "source string, coverage double")
     t = by(mart.truth(mesh, systems), "cluster_id", "field")
     assert (t["c1", "os"].value, t["c1", "os"].priority) == ("Windows 11", "primary") and t["c1", "name"].source == "sp" and t["c2", "serial_number"].priority == "best_effort"
-    assert t["c2", "serial_number"].value == "SN002" and t["c4", "os"].priority == "best_effort"
+    assert t["c2", "serial_number"].value == "QX7782" and t["c4", "os"].priority == "best_effort"
     assert by(mart.truth(mesh, systems, expand=True), "cluster_id", "field")["c4", "os"].priority == "primary"
     v = by(mart.drift(mesh), "cluster_id", "field")
     assert (v["c1", "name"].verdict, v["c1", "os"].verdict, v["c4", "os"].verdict) == ("MATCH", "MISMATCH", "SINGLE_SOURCE")
@@ -52,7 +52,7 @@ def test_truth_and_drift(spark, mesh):
 
 def test_annotations(mesh):
     got = {(r.cluster_id, r.kind, r["values"]) for r in mart.serial_conflicts(mesh).collect()}
-    assert got == {("c2", "SERIAL_CONFLICT", "SN002, SN009"), ("(multiple)", "SPLIT_IDENTITY", "SN001")}
+    assert got == {("c2", "SERIAL_CONFLICT", "QX7782, QX7789"), ("(multiple)", "SPLIT_IDENTITY", "QX7781")}
 
 
 def test_extras(mesh):
@@ -66,25 +66,25 @@ def test_stale(mesh):
 
 def test_lookup(spark, mesh):
     d = mart.consolidated(mesh)
-    q = spark.createDataFrame([(x,) for x in ("c2", "WS28", "sn002", "AA-BB-CC-DD-EE-FF", "112233445566", "192.168", "jsm", "apple", "nothing", "", None)], "query string")
+    q = spark.createDataFrame([(x,) for x in ("c2", "LAP31", "qx7782", "3C-52-A1-0E-9B-44", "f09e4a27d108", "172.20", "kvo", "apple", "nothing", "", None)], "query string")
     got = {r["query"]: (r.cluster_id, r.step) for r in mart.lookup(q, d, mesh).collect()}
-    assert got["c2"] == ("c2", 1) and got["WS28"] == ("c1", 2) and got["sn002"] == ("c2", 3) and got["AA-BB-CC-DD-EE-FF"] == ("c1", 4) and got["112233445566"] == ("c2", 4)
-    assert got["192.168"] == ("c1", 5) and got["jsm"] == ("c4", 6) and got["apple"] == ("c4", 7) and "nothing" not in got
+    assert got["c2"] == ("c2", 1) and got["LAP31"] == ("c1", 2) and got["qx7782"] == ("c2", 3) and got["3C-52-A1-0E-9B-44"] == ("c1", 4) and got["f09e4a27d108"] == ("c2", 4)
+    assert got["172.20"] == ("c1", 5) and got["kvo"] == ("c4", 6) and got["apple"] == ("c4", 7) and "nothing" not in got
 
 
 def test_attach(spark, mesh):
     keys = attach.keyspace(mesh.withColumn("asset_tag", F.lit("")))
-    rows = spark.createDataFrame([("1", "dc01", "SN001 and ws28 sr01"), ("2", "AA-BB-CC-DD-EE-FF", "an iphone"), ("3", "", None)], "source_id string, v string, t string")
+    rows = spark.createDataFrame([("1", "srv77", "QX7781 and lap31 sr01"), ("2", "3C-52-A1-0E-9B-44", "an iphone"), ("3", "", None)], "source_id string, v string, t string")
     assert {(r.source_id, r.cluster_id) for r in attach.exact(rows, keys, F.col("v")).collect()} == {("1", "c2")}
     from fleetweave.functions.text import normalize_mac
 
     assert {(r.source_id, r.cluster_id, r.confidence) for r in attach.exact(rows, keys, F.col("v"), normalize_mac).collect()} == {("2", "c1", 1.0)}
-    none = spark.createDataFrame([("sn001",)], "token string")
+    none = spark.createDataFrame([("qx7781",)], "token string")
     many = attach.fuzzy(rows, "source_id", keys, none, F.col("t"), multi=True)
-    assert {(r.source_id, r.cluster_id, r.token, r.confidence) for r in many.collect()} == {("1", "c1", "ws28", 0.9)}
+    assert {(r.source_id, r.cluster_id, r.token, r.confidence) for r in many.collect()} == {("1", "c1", "lap31", 0.9)}
     single = attach.fuzzy(rows, "source_id", keys, none.limit(0), F.col("t"), multi=False).collect()
-    assert [(r.source_id, r.token) for r in single] == [("1", "sn001")]
-    assert attach.keyspace(mesh, unique_only=True).where("token = 'sn001'").count() == 0
+    assert [(r.source_id, r.token) for r in single] == [("1", "qx7781")]
+    assert attach.keyspace(mesh, unique_only=True).where("token = 'qx7781'").count() == 0
 
 
 def test_change_capture(spark):
@@ -111,8 +111,8 @@ def test_incremental_records(spark):
 
 
 def test_networks(spark):
-    p = spark.createDataFrame([("1", "10.1.2.3"), ("2", "10.200.0.1"), ("3", "bad"), ("4", "192.168.5.9")], "id string, ip string")
-    n = spark.createDataFrame([("a", "10.0.0.0/9"), ("b", "10.1.2.0/24"), ("c", "192.168.5.8/30"), ("d", "x")], "v string, cidr string")
+    p = spark.createDataFrame([("1", "10.1.2.3"), ("2", "10.200.0.1"), ("3", "bad"), ("4", "172.20.5.9")], "id string, ip string")
+    n = spark.createDataFrame([("a", "10.0.0.0/9"), ("b", "10.1.2.0/24"), ("c", "172.20.5.8/30"), ("d", "x")], "v string, cidr string")
     assert {(r.id, r.v) for r in graph.in_networks(p, "ip", n, "cidr").collect()} == {("1", "a"), ("1", "b"), ("4", "c")}
 
 
