@@ -192,15 +192,17 @@ def weights(leveled: DataFrame, comparisons, lam: float, m: dict, u: dict, rows:
     """Pairs with their `match_weight` (log2 of the odds), at least `least`. With `rows`, exact agreement counts more for rare values."""
     total = F.lit(math.log2(lam / (1 - lam)) if 0 < lam < 1 else 0.0)
     out = leveled
+    adjusted = [c for c in comparisons if c.by_frequency and rows is not None]
+    # how many rows have a value at all, for every adjusted column from one scan
+    filled = rows.agg(*(F.count(c.column).alias(c.column) for c in adjusted)).first() if adjusted else {}
     for c in comparisons:
         g = F.col(f"g_{c.column}")
         part = F.lit(0.0)
         for k in range(c.levels):
             part = F.when(g == k, math.log2(max(m[c.column][k], _SMALL) / max(u[c.column][k], _SMALL))).otherwise(part)
         total = total + part
-        if c.by_frequency and rows is not None:
-            n = rows.where(F.col(c.column).isNotNull()).count()
-            tf = rows.where(F.col(c.column).isNotNull()).groupBy(F.col(c.column).alias(f"v_{c.column}")).agg((F.count(F.lit(1)) / max(n, 1)).alias(f"tf_{c.column}"))
+        if c in adjusted:
+            tf = rows.where(F.col(c.column).isNotNull()).groupBy(F.col(c.column).alias(f"v_{c.column}")).agg((F.count(F.lit(1)) / max(filled[c.column], 1)).alias(f"tf_{c.column}"))
             out = out.join(tf, f"v_{c.column}", "left")
             total = total + F.when((g == c.levels - 1) & F.col(f"tf_{c.column}").isNotNull(), F.log2(F.lit(max(u[c.column][-1], _SMALL)) / F.col(f"tf_{c.column}"))).otherwise(0.0)
     return out.withColumn("match_weight", total).where(F.col("match_weight") >= least).select("uid_l", "uid_r", "match_key", "match_weight")

@@ -36,6 +36,10 @@ _LIST = ", ".join(f"'{j}'" for j in _JUNK)
 _KEYED = "(select uid, source, " + ", ".join(f"case when lower(r.{c}) not in ({_LIST}) then r.{c} end as {c}" if c in L.DEVICE_BLOCKING else f"r.{c} as {c}" for c in _COLS) + f" from {_ROWS})"
 
 
+# The same over the records of any cluster.
+_ALL = lambda sql: sql.replace(" where cluster_id like 'c-%' group by 1, 2", " group by 1, 2")
+
+
 def _blocking_sql() -> str:
     parts = []
     for i, c in enumerate(L.DEVICE_BLOCKING):
@@ -44,9 +48,9 @@ def _blocking_sql() -> str:
     return f"with k as {_KEYED} " + " union all ".join(parts)
 
 
-# The SQL covers the records of resolved clusters only; each of its queries has a twin named `..._all` over all records.
+# These cover the records of resolved clusters; each has a twin named `..._all` over all records.
 query("blocking_pairs", _blocking_sql())(lambda s, d: L.blocked(keyed(s, d, True), L.DEVICE_BLOCKING))
-query("blocking_pairs_all")(lambda s, d: L.blocked(keyed(s, d), L.DEVICE_BLOCKING))
+query("blocking_pairs_all", _ALL(_blocking_sql()))(lambda s, d: L.blocked(keyed(s, d), L.DEVICE_BLOCKING))
 
 
 def _level_sql(c: L.Comparison) -> str:
@@ -76,13 +80,25 @@ def _fixed_score(df):
 
 
 query("gamma_levels", _LEVELS)(lambda s, d: _shown(leveled(s, d, True)))
-query("gamma_levels_all")(lambda s, d: _shown(leveled(s, d)))
+query("gamma_levels_all", _ALL(_LEVELS))(lambda s, d: _shown(leveled(s, d)))
 query("gamma_patterns", f"select {', '.join(f'g_{c.column}' for c in L.DEVICE_COMPARISONS)}, count(*) as n from ({_LEVELS}) group by all")(lambda s, d: _patterns(leveled(s, d, True)))
-query("gamma_patterns_all")(lambda s, d: _patterns(leveled(s, d)))
+query("gamma_patterns_all", f"select {', '.join(f'g_{c.column}' for c in L.DEVICE_COMPARISONS)}, count(*) as n from ({_ALL(_LEVELS)}) group by all")(lambda s, d: _patterns(leveled(s, d)))
 _WEIGHT = f"log2({LAMBDA} / (1 - {LAMBDA})) + " + " + ".join("case g_%s %s else 0 end" % (c.column, " ".join(f"when {k} then log2({M[c.column][k]} / {U[c.column][k]})" for k in range(c.levels))) for c in L.DEVICE_COMPARISONS)
 query("pair_score_fixed", f"select uid_l, uid_r, match_key, round(match_weight, 6) as match_weight from (select *, {_WEIGHT} as match_weight from ({_LEVELS})) where match_weight >= -10")(lambda s, d: _fixed_score(leveled(s, d, True)))
-query("pair_score_all")(lambda s, d: _fixed_score(leveled(s, d)))
-query("weights_by_frequency")(lambda s, d: L.weights(leveled(s, d), L.DEVICE_COMPARISONS, LAMBDA, M, U, rows=keyed(s, d)))
+query("pair_score_all", f"select uid_l, uid_r, match_key, round(match_weight, 6) as match_weight from (select *, {_WEIGHT} as match_weight from ({_ALL(_LEVELS)})) where match_weight >= -10")(lambda s, d: _fixed_score(leveled(s, d)))
+
+
+def _frequency_sql() -> str:
+    """Weights in which agreement on a value counts by how rare the value is."""
+    by = [c for c in L.DEVICE_COMPARISONS if c.by_frequency]
+    shares = ", ".join(f"tf_{c.column} as (select {c.column} as v, count(*)::double / (select count(*) from k where {c.column} is not null) as tf from k where {c.column} is not null group by 1)" for c in by)
+    more = " + ".join(f"case when g_{c.column} = {c.levels - 1} then log2({U[c.column][-1]} / tf_{c.column}.tf) else 0 end" for c in by)
+    joins = " ".join(f"left join tf_{c.column} on tf_{c.column}.v = l.{c.column}" for c in by)
+    return f"""with k as {_ALL(_KEYED)}, g as ({_ALL(_LEVELS)}), {shares}
+      select uid_l, uid_r, match_key, round(w, 6) as match_weight from (select g.uid_l, g.uid_r, g.match_key, {_WEIGHT} + {more} as w from g join k l on l.uid = g.uid_l {joins}) where w >= -10"""
+
+
+query("weights_by_frequency", _frequency_sql())(lambda s, d: L.weights(leveled(s, d), L.DEVICE_COMPARISONS, LAMBDA, M, U, rows=keyed(s, d)).withColumn("match_weight", F.round("match_weight", 6)))
 _EDGES = "select unique_id_l as a, unique_id_r as b from match_pairs where match_weight >= -5 and unique_id_l <> unique_id_r"
 
 
@@ -126,9 +142,9 @@ def positives(s, d, resolved: bool = False):
 
 
 query("training_pairs", f"with t as {_KEYED} {_TRAIN}")(lambda s, d: positives(s, d, True))
-query("training_pairs_all")(positives)
+query("training_pairs_all", _ALL(f"with t as {_KEYED} {_TRAIN}"))(positives)
 query("negative_pairs")(lambda s, d: L.negative_pairs(keyed(s, d), positives(s, d)))
-query("linkage_prior")(lambda s, d: s.createDataFrame([(L.prior(keyed(s, d), L.DEVICE_BLOCKING),)], "lambda double"))
+query("linkage_prior", f"select round(2.0 * (select count(*) from ({_ALL(_blocking_sql())})) / (n * (n - 1) / 2.0), 9) as lambda from (select count(*)::double as n from {_ALL(_ROWS)})")(lambda s, d: s.createDataFrame([(round(L.prior(keyed(s, d), L.DEVICE_BLOCKING), 9),)], "lambda double"))
 
 
 def estimated(k, comparisons=L.DEVICE_COMPARISONS, rules=L.DEVICE_BLOCKING):
