@@ -1,11 +1,13 @@
 """p1: one surviving record for each group of duplicates, by skylines.
 
-A record's criteria are, for each field: has it a value, how far is its source trusted for it, and when was it fetched.
-One record dominates another if it is nowhere worse and somewhere better. Records of one source with values for the
-same fields differ in recency only, so all but the newest of each (group, source, set of filled fields) are dominated;
-that first step is a `max_by` with map-side combine and leaves at most sources x 2^fields records of a group, however
-large it is. Those are peeled into dominance layers, each field is taken from the first layer that has a value for it,
-and within the layer by the lexicographic policy trust, recency, value.
+A record's criteria are how complete it is (fields with a value), how recent, and how far its source is trusted for each
+field. One record dominates another if it is nowhere worse and somewhere better. Records of one source with values for
+the same fields differ in recency only, so all but the newest of each (group, source, set of filled fields) are dominated
+by one with the same fields; that first step is a `max_by` with map-side combine and leaves at most sources x 2^fields
+records of a group, however large it is. Those are put into their dominance layers, all of them: a record's layer is one
+below the deepest record that dominates it. A field is resolved by the lexicographic policy trust, recency, layer, value
+over the records of the first layer, and where a later layer has a value that goes before (the first has none of that
+source, or only an older one), it fills in.
 """
 
 from __future__ import annotations
@@ -32,29 +34,31 @@ def real_value(c: Column) -> Column:
     return F.when(c.isNotNull() & ~empty, t)
 
 
-def _undominated(rows: Column, n: int) -> Column:
-    """Rows of an array that no other row of it dominates."""
+def _layered(rows: Column, n: int) -> Column:
+    """`(row, layer)` of an array of rows, layers from 1, by one pass in an order in which a row comes after all that dominate it."""
 
     def beats(a: Column, b: Column) -> Column:
-        no_worse = [a["at"] >= b["at"]]
-        better = [a["at"] > b["at"]]
-        for i in range(n):
-            has_a, has_b = a[f"v{i}"].isNotNull(), b[f"v{i}"].isNotNull()
-            no_worse += [has_a | ~has_b, a[f"r{i}"] <= b[f"r{i}"]]
-            better += [has_a & ~has_b, a[f"r{i}"] < b[f"r{i}"]]
+        no_worse = [a["at"] >= b["at"], a["full"] >= b["full"], *(a[f"r{i}"] <= b[f"r{i}"] for i in range(n))]
+        better = [a["at"] > b["at"], a["full"] > b["full"], *(a[f"r{i}"] < b[f"r{i}"] for i in range(n))]
         return reduce(Column.__and__, no_worse) & reduce(Column.__or__, better)
 
-    return F.filter(rows, lambda b: ~F.exists(rows, lambda a: beats(a, b)))
+    def place(done: Column, row: Column) -> Column:
+        above = F.array_max(F.transform(F.filter(done, lambda x: beats(x["row"], row)), lambda x: x["layer"]))
+        return F.array_append(done, F.struct(row.alias("row"), (F.coalesce(above, F.lit(0)) + 1).alias("layer")))
 
+    # nowhere worse and somewhere better: earlier in this order
+    total = lambda r: reduce(Column.__add__, [r[f"r{i}"].cast("long") for i in range(n)])
+    ordered = F.transform(F.array_sort(F.transform(rows, lambda r: F.struct((-F.unix_micros(r["at"])).alias("a"), (-r["full"]).alias("f"), total(r).alias("t"), r.alias("r")))), lambda x: x["r"])
+    none = F.filter(F.transform(ordered, lambda r: F.struct(r.alias("row"), F.lit(0).alias("layer"))), lambda _: F.lit(False))
+    return F.aggregate(ordered, none, place)
 
-def survivors(records: DataFrame, trust: DataFrame, group: str, source: str, fetched: str, fields: dict[str, str], layers: int = 2) -> DataFrame:
+
+def survivors(records: DataFrame, trust: DataFrame, group: str, source: str, fetched: str, fields: dict[str, str]) -> DataFrame:
     """`(group, *fields)`: for each group the surviving value of each field, null without any real value.
 
     `fields` maps a field to the column of `trust` with its rank (1 = most trusted; sources without a rank come last).
     Of values equal in trust and recency that of a record that dominates the others survives, else the smallest text. Rows repeated in full count once; null groups are
-    left out; records without a time count as the oldest. Layers beyond the first `layers` are taken together, which
-    gives the same fields: the row that is best for a field by the policy is dominated only by rows that have that
-    field too and tie with it, so no later layer can better it.
+    left out; records without a time count as the oldest.
     """
     names = list(fields)
     rank = trust.select(F.col(source).alias("_s"), *(F.col(c).cast("int").alias(f"r{i}") for i, c in enumerate(fields.values())))
@@ -73,22 +77,17 @@ def survivors(records: DataFrame, trust: DataFrame, group: str, source: str, fet
     # a system table of fixed size: the number of sources
     ranked = newest.join(F.broadcast(rank), "_s", "left")
     worst = F.lit(2**31 - 1)
-    row = F.struct("at", *(F.coalesce(f"r{i}", worst).alias(f"r{i}") for i in range(len(names))), *(f"v{i}" for i in range(len(names))))
-    grouped = ranked.groupBy("g").agg(F.collect_list(row).alias("rest"))  # at most sources x 2^fields rows
-    for k in range(layers + 1):
-        layer = _undominated(F.col("rest"), len(names)) if k < layers else F.col("rest")
-        grouped = grouped.withColumn("layer", layer)
-        for i in range(len(names)):
-            grouped = grouped.withColumn(f"f{k}_{i}", _by_policy(F.col("layer"), i))
-        grouped = grouped.withColumn("rest", F.array_except("rest", "layer"))
-    found = [F.coalesce(*(F.col(f"f{k}_{i}") for k in range(layers + 1))).alias(c) for i, c in enumerate(names)]
-    return grouped.select(F.col("g").alias(group), *found)
-
-
-def _by_policy(layer: Column, i: int) -> Column:
-    """Value of field `i` in a layer: of the most trusted, then newest, then smallest."""
-    with_value = F.filter(layer, lambda r: r[f"v{i}"].isNotNull())
-    keyed = F.transform(with_value, lambda r: F.struct(r[f"r{i}"].alias("r"), (-F.unix_micros(r["at"])).alias("t"), r[f"v{i}"].alias("v")))
+    full = reduce(Column.__add__, [F.col(f"v{i}").isNotNull().cast("int") for i in range(len(names))])
+    row = F.struct("at", full.alias("full"), *(F.coalesce(f"r{i}", worst).alias(f"r{i}") for i in range(len(names))), *(f"v{i}" for i in range(len(names))))
+    grouped = ranked.groupBy("g").agg(F.collect_list(row).alias("rows"))  # at most sources x 2^fields
+    layered = grouped.select("g", _layered(F.col("rows"), len(names)).alias("rows"))
+    return layered.select(F.col("g").alias(group), *(_by_policy(F.col("rows"), i).alias(c) for i, c in enumerate(names)))
+
+
+def _by_policy(rows: Column, i: int) -> Column:
+    """Value of field `i`: of the most trusted, then newest, then least dominated, then smallest."""
+    with_value = F.filter(rows, lambda x: x["row"][f"v{i}"].isNotNull())
+    keyed = F.transform(with_value, lambda x: F.struct(x["row"][f"r{i}"].alias("r"), (-F.unix_micros(x["row"]["at"])).alias("t"), x["layer"].alias("l"), x["row"][f"v{i}"].alias("v")))
     return F.array_min(keyed)["v"]
 
 
