@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fleetweave.operators.ordered import TARGET_ROWS, chunked, neighbour
 from fleetweave.session import discard, staged
@@ -79,14 +78,12 @@ def versions(changes: DataFrame, keys: list[str], old: str, new: str, at: str, b
     or the value that already stands, is none; a change to no value ends a version and begins none. Rows with a null
     instant are left out; null keys are a key of their own; an empty table gives an empty table.
     """
-    spark = changes.sparkSession
     keyed = changes.select(*keys, old, new, at, batch)
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     cuts = changes.select(micros.alias("t")).agg(F.percentile_approx("t", F.array(*(F.lit((i + 1) / periods) for i in range(periods - 1))), 1000)).first()[0] if periods > 1 else []
     cuts = sorted(set(cuts or []))
-    kinds = [changes.schema[k] for k in keys]
-    empty = T.StructType([*kinds, T.StructField("value", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("hash", "valid_from_us", "valid_to_us"))])
-    dimension = spark.createDataFrame([], empty)
+    longs = (F.lit(None).cast("long").alias(c) for c in ("hash", "valid_from_us", "valid_to_us"))
+    dimension = changes.select(*keys, F.lit(None).cast("string").alias("value"), *longs).where(F.lit(False))
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         mine = F.lit(True) if lo is None else micros > lo
         before = dimension
