@@ -13,13 +13,19 @@ from pyspark.sql import functions as F
 
 TARGET_ROWS = 2_000_000
 MOST_CHUNKS = 1_000
+PARTITION_ROWS = 1_000_000
 
 
 class Chunks:
-    """`df` with the columns to partition by (`by`); `own` is true for rows that aren't guests."""
+    """`df` with the columns to partition by (`by`); `own` is true for rows that aren't guests. `rows` is how many there are, 0 if not known."""
 
-    def __init__(self, df: DataFrame, by: list[str], cut: bool):
-        self.df, self.by, self.cut = df, by, cut
+    def __init__(self, df: DataFrame, by: list[str], cut: bool, rows: int = 0):
+        self.df, self.by, self.cut, self.rows = df, by, cut, rows
+
+    def spread(self) -> DataFrame:
+        """`df` exchanged by its keys, into more partitions than the session's where these would hold over `PARTITION_ROWS` rows."""
+        n = -(-self.rows // PARTITION_ROWS)
+        return self.df.repartition(n, *self.by) if n > int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else self.df.repartition(*self.by)
 
     def only_own(self, df: DataFrame) -> DataFrame:
         return df.where("_own").drop("_own", "_chunk") if self.cut else df
@@ -30,10 +36,11 @@ def chunked(df: DataFrame, keys: list[str], position: str, ties: list[str], halo
 
     `sizes_of` may name a cheaper table with the same keys and at least as many rows of each, to find large keys in.
     """
-    sizes = (df if sizes_of is None else sizes_of).groupBy(*keys).count().where(F.col("count") > target)
-    most = sizes.agg(F.max("count"), F.count(F.lit(1))).first()
+    every = (df if sizes_of is None else sizes_of).groupBy(*keys).count()
+    most = every.agg(F.max("count"), F.count_if(F.col("count") > target), F.coalesce(F.sum("count"), F.lit(0))).first()
+    sizes = every.where(F.col("count") > target)
     if not most[1]:
-        return Chunks(df, keys, False)
+        return Chunks(df, keys, False, most[2])
     parts = min(MOST_CHUNKS, -(-int(most[0]) // target))
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     hot_keys = sizes.select(*keys)
@@ -61,7 +68,7 @@ def chunked(df: DataFrame, keys: list[str], position: str, ties: list[str], halo
     guests = heads.withColumn("_chunk", F.col("_chunk") - 1).unionByName(tails.withColumn("_chunk", F.col("_chunk") + 1))
     guests = guests.withColumn("_own", F.lit(False))
     rest = cold.select("*", F.lit(0).alias("_chunk"), F.lit(True).alias("_own"))
-    return Chunks(rest.unionByName(own).unionByName(guests), by, True)
+    return Chunks(rest.unionByName(own).unionByName(guests), by, True, most[2])
 
 
 def neighbour(chunks: Chunks, order: list[Column], value: Column, offset: int) -> Column:

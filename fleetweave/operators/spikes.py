@@ -83,7 +83,7 @@ def readings(metrics: DataFrame, series: list[str], key: str, value: str, tags:
     pieces = chunked(rows, names, "t", ["id"], RUN + FEW + 1, target, sizes_of=sizes)
     by = pieces.by
     # every branch below reads all columns of this one exchange, so that it is made once
-    spread = pieces.df.repartition(*by)
+    spread = pieces.spread()
     own = F.col("_own") if pieces.cut else F.lit(True)
     good = F.when(own & ~F.col("bad") & F.col("id").isNotNull(), F.col("v"))
     hour = F.pmod(F.floor(F.col("t") / _HOUR), F.lit(24)).cast("int")
