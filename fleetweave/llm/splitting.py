@@ -6,6 +6,9 @@ each piece beginning `overlap` tokens before the end of the one before it.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -15,39 +18,89 @@ PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER = 0.0, 0.15, 0.3, 0.8, 1.5, 6
 PIECE, BALANCE = 1.0, 2.0
 
 
+#: Kinds of bytes beside a cut: other, line break, blank, end of a sentence, end of a clause, inside a character.
+_KIND = bytes(1 if b in b"\n\r" else 2 if b in b" \t" else 3 if b in b".!?\"')" else 4 if b in b",;:-" else 5 if b & 0xC0 == 0x80 else 0 for b in range(256))
+
+
+def _penalty(before: int, here: int) -> float:
+    """Penalty of a cut between two kinds of bytes."""
+    if here == 5:
+        return float("inf")
+    if before == 1 and here != 1:
+        return LINE
+    if before == 3 and here in (1, 2):
+        return SENTENCE
+    if before == 4 and here == 2:
+        return CLAUSE
+    return WORD if before == 2 or here in (1, 2) else CHARACTER
+
+
+_PENALTY = [_penalty(before, here) for before in range(6) for here in range(6)]
+
+
 def cut_penalties(raw: bytes, offsets):
     """Penalty of a cut at each byte offset; infinite inside a character."""
     import numpy as np
 
-    b = np.frombuffer(b"   " + raw + b"   ", dtype=np.uint8)
-    at = offsets + 3
-    here, p1, p2, p3 = b[at], b[at - 1], b[at - 2], b[at - 3]
-    newline = (p1 == 10) | (p1 == 13)
-    blank_here = (here == 32) | (here == 9)
-    eol_here = (here == 10) | (here == 13)
-    wide = (p3 == 0xE3) & (p2 == 0x80) | (p3 == 0xEF) & (p2 == 0xBC)
-    sentence = (blank_here | eol_here) & np.isin(p1, np.frombuffer(b".!?\"')", dtype=np.uint8)) | wide & np.isin(p1, np.array([0x82, 0x81, 0x9F], dtype=np.uint8)) & ~((p3 == 0xE3) & (p1 == 0x81))
-    clause = blank_here & np.isin(p1, np.frombuffer(b",;:-", dtype=np.uint8)) | (p3 == 0xE3) & (p2 == 0x80) & (p1 == 0x81) | (p3 == 0xEF) & (p2 == 0xBC) & (p1 == 0x8C)
-    cost = np.full(len(offsets), CHARACTER)
-    cost[blank_here | eol_here | (p1 == 32) | (p1 == 9)] = WORD
-    cost[clause] = CLAUSE
-    cost[sentence] = SENTENCE
-    cost[newline & ~eol_here] = LINE
-    cost[newline & ~eol_here & ((p2 == 10) | (p2 == 13) & ((p1 == 13) | (p3 == 10)))] = PARAGRAPH
-    cost[(here & 0xC0) == 0x80] = np.inf
+    padded = b"   " + raw + b"   "
+    kind = np.frombuffer(padded.translate(_KIND), dtype=np.uint8)
+    b = np.frombuffer(padded, dtype=np.uint8)
+    cost = np.array(_PENALTY)[kind[offsets + 2] * np.uint8(6) + kind[offsets + 3]]
+    i = np.flatnonzero(cost == LINE)
+    p1, p2, p3 = (b[offsets[i] + k] for k in (2, 1, 0))
+    cost[i[(p2 == 10) | (p2 == 13) & ((p1 == 13) | (p3 == 10))]] = PARAGRAPH
+    if not raw.isascii():
+        i = np.flatnonzero((kind[offsets + 2] == 5) & np.isfinite(cost))
+        p1, p2, p3 = (b[offsets[i] + k] for k in (2, 1, 0))
+        cjk, full = (p3 == 0xE3) & (p2 == 0x80), (p3 == 0xEF) & (p2 == 0xBC)
+        cost[i[cjk & (p1 == 0x81) | full & (p1 == 0x8C)]] = CLAUSE
+        cost[i[(cjk | full) & ((p1 == 0x82) | (p1 == 0x9F)) | full & (p1 == 0x81)]] = SENTENCE
     return cost
 
 
-def split_points(raw: bytes, lengths, limit: int, overlap: int, block: int = 128):
+@lru_cache
+def _widest(limit: int, overlap: int) -> int:
+    """How far apart two ends at words may lie so that no best choice of ends has one amid a word between them; see `candidates`."""
+    room = CHARACTER - 2 * WORD - PIECE - BALANCE * ((limit - overlap - 2) / limit) ** 2
+    g = 0
+    while BALANCE * (2 * (g + 1) / limit + ((g + 1) / limit) ** 2) < room and g + 1 + overlap <= limit:
+        g += 1
+    return g - 3
+
+
+def candidates(cost, whole, limit: int, overlap: int):
+    """The ends that can be in a best choice: whole characters beyond `overlap`, but for some amid words.
+
+    An end amid a word is left out if ends at words lie close on both sides (`_widest`). In its place both of them, or
+    one where the next end of the pieces isn't beyond the other, keep all pieces within the limit. They cost at most two
+    word penalties and one more piece with the largest balance term there is, and the pieces beside change by a few tokens:
+    all of it is less than the penalty that falls away. So no best choice of ends has such an end.
+    """
+    import numpy as np
+
+    may = whole.copy()
+    may[: overlap + 1] = False
+    at_words = may & (cost < CHARACTER)
+    at_words[-1] = True
+    words = np.flatnonzero(at_words)
+    near = np.flatnonzero(np.diff(words) <= _widest(limit, overlap))
+    inside = np.zeros(len(may) + 1, dtype=np.int8)
+    inside[words[near] + 1] += 1
+    inside[words[near + 1]] -= 1
+    return np.flatnonzero(may & (np.cumsum(inside[:-1], dtype=np.int8) == 0))
+
+
+def split_points(raw: bytes, lengths, limit: int, overlap: int, block: int = 224):
     """`[(start, end), ...]` in tokens for a text of `sum(lengths)` bytes; `lengths` has the bytes of each token.
 
-    One piece if it fits. Ends lie on whole characters, and every such position is a candidate. A start lies exactly
+    One piece if it fits. Ends lie on whole characters, and every such position that can be in a best choice is a
+    candidate (`candidates`). A start lies exactly
     `overlap` tokens before the last end, or up to three more where that would cut a character.
 
-    Positions are worked out `block` by `block` against the earlier ends that may still begin a best piece. An earlier
-    end is left out for good once a later one costs no more with the piece up to the current position: that piece can
-    go on for longer, and the difference of the two squares only falls as the position moves on. Ends within the block
-    are compared one by one where their own sums say that they could win. So the result is the minimum over all positions.
+    Positions are worked out by blocks of `block` tokens against the earlier ends that may still begin a best piece. An
+    earlier end is left out for good once a later one costs no more with the piece up to the current position: that piece
+    can go on for longer, and the difference of the two squares only falls as the position moves on. Where the sums of a
+    block say that an end within it could win, the block is halved. So the result is the minimum over all positions.
     """
     import numpy as np
 
@@ -59,58 +112,66 @@ def split_points(raw: bytes, lengths, limit: int, overlap: int, block: int = 128
     cost = cut_penalties(raw, offsets)
     whole = np.isfinite(cost)
     whole[0] = whole[n] = True
-    back = np.maximum.accumulate(np.where(whole, np.arange(n + 1), 0))  # whole character at or before
-    whole[: overlap + 1] = False
-    ends = np.flatnonzero(whole)
+    back = np.arange(n + 1)
+    if not whole.all():
+        back = np.maximum.accumulate(np.where(whole, back, 0))  # whole character at or before
+    ends = candidates(cost, whole, limit, overlap)
     starts = back[ends - overlap]
     fee = cost[ends] + PIECE
     fee[-1] = PIECE
     count = max(1, -(-(n - overlap) // (limit - overlap)))
     even = overlap + (n - overlap) / count
     c = BALANCE / limit**2
-    short = c * max(0.0, even - overlap - block - 3) ** 2  # least balance term of a piece within a block
     x = ends - even
     square = c * x * x
-    terms = np.column_stack((x, np.ones(len(x))))
-    came = np.full(len(ends), -1)
+    terms, reach = np.column_stack((x, np.ones(len(x)))), ends - float(limit)
     # the ends that a piece may follow, as columns: the square (x - start)^2 is taken apart so that a block is one product.
     # Rows: where the piece begins, its factor of x, what is left of the sum without x, which end it is (-1: the beginning)
     columns = np.array((starts, -2 * c * starts, c * starts**2, np.arange(len(ends))))
     live = np.array([[0.0], [0.0], [0.0], [-1.0]])
-    last, rows = np.inf, np.arange(block)
-    for a in range(0, len(ends), block):
-        z = min(a + block, len(ends))
-        sums = terms[a:z] @ live[1:3]
-        gone = live[0].searchsorted(ends[z - 1] - limit)
-        for i, r in enumerate(ends[a:z].searchsorted(live[0, :gone] + limit, "right").tolist()):
-            sums[r:, i] = np.inf  # too long from here on
+    rows, at, space = np.arange(len(ends)), ends.tolist(), np.empty(0)
+    a, span, came = 0, block, []
+    while True:
+        z = bisect_left(at, at[a] + span, a)
+        used = live.shape[1]
+        gone = int(live[0].searchsorted(at[z - 1] - limit)) if live[0, 0] < at[z - 1] - limit else 0
+        if used - gone > 64:  # the best end to follow never moves back, so that of the last position bounds the others
+            used = gone + int((live[1, gone:] * x[z - 1] + live[2, gone:]).argmin()) + 1
+        size = (z - a) * used
+        if size > len(space):
+            space = np.empty(2 * size)
+        sums = np.matmul(terms[a:z], live[1:3, :used], out=space[:size].reshape(z - a, used))
+        if gone:
+            np.putmask(sums, np.greater.outer(reach[a:z], live[0, :used]), np.inf)  # too long
         k = sums.argmin(axis=1)
         least = sums[rows[: z - a], k] + square[a:z]
         best = least + fee[a:z]
-        came[a:z] = live[3, k]
-        if (np.minimum.accumulate(best[:-1]) + short < least[1:]).any():
-            for j in range(1, z - a):
-                inner = ends[a + j] - starts[a : a + j]
-                f = np.where(inner > limit, np.inf, best[:j] + c * (inner - even) ** 2)
-                i = int(f.argmin())
-                if f[i] < least[j]:
-                    best[j], came[a + j] = f[i] + fee[a + j], a + i
-        if z == len(ends):
-            last = best[-1]
+        # the ends within the block, with a piece that ends in it too: none of these is longer than up to the last end
+        room = max(0.0, float(starts[a]) + even - at[z - 1])
+        if z - a > 1 and np.minimum.reduce(best) + c * room * room < np.maximum.reduce(least):
+            room = np.maximum(starts[a : z - 1] + (even - at[z - 1]), 0.0)
+            if (np.minimum.accumulate(best[:-1] + c * room * room) < least[1:]).any():
+                span = max(1, span // 2)
+                continue
+        came.append((a, live[3].take(k)))
+        if z == len(at):
             break
         columns[2, a:z] += best
         live = np.concatenate((live, columns[:, a:z]), axis=1)
-        live = live[:, live[0].searchsorted(ends[z] - limit) :]
+        if live[0, 0] < at[z] - limit:
+            live = live[:, live[0].searchsorted(at[z] - limit) :]
         price = live[1] * x[z] + live[2]
-        keep = np.ones(len(price), dtype=bool)
-        np.less(price[:-1], np.minimum.accumulate(price[:0:-1])[::-1], out=keep[:-1])
-        live = live[:, keep]
-    if not np.isfinite(last):
+        live = live.take(np.flatnonzero(price == np.minimum.accumulate(price[::-1])[::-1]), axis=1)
+        a, span = z, min(block, 2 * span)
+    if not np.isfinite(best[-1]):
         raise ValueError("no cut within the limit; limit and overlap are too close")
     out, j = [], len(ends) - 1
     while j >= 0:
-        i = int(came[j])
-        out.append((int(starts[i]) if i >= 0 else 0, int(ends[j])))
+        while came[-1][0] > j:
+            came.pop()
+        a, before = came[-1]
+        i = int(before[j - a])
+        out.append((int(starts[i]) if i >= 0 else 0, at[j]))
         j = i
     out.reverse()
     return out
@@ -145,12 +206,12 @@ def split_texts(df: DataFrame, key: str, text: str = "text", limit: int = 512, o
             rows, cols = [], [[] for _ in kinds]
             for r, t in enumerate(b.column(1).to_pylist()):
                 t = t or ""
-                if only_cut and len(t) <= limit // 4:  # a character has at most 4 bytes, a token at least one
+                raw = t.encode("utf-8", "surrogatepass")
+                if only_cut and len(raw) <= limit:  # a token has at least one byte
                     continue
                 ids = np.frombuffer(table.encode(t), dtype=np.int32)
                 if only_cut and len(ids) <= limit:
                     continue
-                raw = t.encode("utf-8", "surrogatepass")
                 lengths = width[ids]
                 ascii_only = len(raw) == len(t)
                 at = np.concatenate(([0], np.cumsum(lengths)))

@@ -241,6 +241,61 @@ def plain_price(raw, lengths, limit, overlap, spans=None):
     return best[n]
 
 
+def test_ends_amid_words_are_left_out():
+    """Where words are near, no end amid a word is looked at; where none is near, all are."""
+    import numpy as np
+
+    def looked_at(text, limit, overlap):
+        raw = text.encode()
+        lengths = [len(A.automaton.labels[i]) for i in A.automaton.encode(text)]
+        cost = splitting.cut_penalties(raw, np.concatenate(([0], np.cumsum(lengths))))
+        return len(lengths), cost, splitting.candidates(cost, np.isfinite(cost), limit, overlap)
+
+    n, cost, ends = looked_at("qzxv jkwq vxzz. " * 300, 512, 32)
+    assert ends[-1] == n and len(ends) < 0.6 * n
+    assert (cost[ends[5:-1]] < splitting.CHARACTER).all()
+    n, _, ends = looked_at("x9" * 3000, 512, 32)
+    assert list(ends) == list(range(33, n + 1))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["qzxv", "a", "jkwqvxzz", " ", " ", "\n\n", ". ", ", ", "日本", "。", "🙂", "x9x9x9x9x9x9x9x9x9x9x9"]), min_size=40, max_size=400), st.integers(1, 90))
+def test_ends_left_out_are_never_best(parts, block):
+    """Against the programme over all positions, at a limit where ends amid words are left out, by blocks of any size."""
+    import numpy as np
+
+    raw = "".join(parts).encode()
+    lengths = np.array([len(A.automaton.labels[i]) for i in A.automaton.encode("".join(parts))])
+    limit, overlap = 64, 8
+    assert splitting._widest(limit, overlap) > 3
+    if len(lengths) > limit:
+        got = splitting.split_points(raw, lengths, limit, overlap, block)
+        assert all(0 < e - s <= limit for s, e in got)
+        assert plain_price(raw, lengths, limit, overlap, got) == pytest.approx(plain_price(raw, lengths, limit, overlap), abs=1e-9)
+
+
+def test_short_texts_are_not_encoded(monkeypatch):
+    """A text of no more bytes than the limit has no more tokens: no work but to measure it."""
+    import pyarrow as pa
+
+    class Frame:
+        sparkSession, schema = None, {"k": splitting.T.StructField("k", splitting.T.LongType())}
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    seen = []
+
+    class Table:
+        automaton = A.automaton
+        encode = lambda self, t: seen.append(t) or A.encode(t)
+
+    monkeypatch.setattr(automaton, "shared_tables", lambda *_: Table)
+    texts = ["a b " * 128, "é" * 256, "word " * 600, "a b " * 128 + "!", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(texts)], names=["k", "text"])
+    (got,) = splitting.split_texts(Frame(), "k")([batch])
+    assert seen == texts[2:4] and set(got.column(0).to_pylist()) == {2}
+
+
 def test_cut_documents_are_best(spark):
     """At the production limit, for documents of the tables and texts without blanks."""
     import numpy as np
